@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -17,9 +18,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent.parent
-    with tempfile.TemporaryDirectory() as folder:
-        staged = Path(folder, "staged")
-        shutil.copytree(package, staged / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", staged))
+    folder = tempfile.mkdtemp()  # Spark serves the archive from here to executors that start later
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(package, Path(folder, "staged", package.name), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/staged"))
     _shipped.add(context.applicationId)
-
