@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, mpeg_audio, url_rules
+from plumbline.llm import bpe, decontaminate, mpeg_audio, suffix_dedup, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("span_begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = mpeg_audio.store(table(spark, sf_dir, "documents"))
     back = mpeg_audio.parse(media, keep=("doc_id", "n_bytes"))
@@ -70,6 +76,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_url_rules": op6_url_rules,
     "op9_decontaminate": op9_decontaminate,
