@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chosen_path, decontaminate, mpeg_audio, suffix_dedup, url_rules
+from plumbline.llm import bpe, chosen_path, decontaminate, labelled, mpeg_audio, quality_rank, suffix_dedup, toxicity, url_rules
+from plumbline.llm.textkit import training_row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _classified(scored: DataFrame, cut: float) -> DataFrame:
+    held = ~training_row(F.col("doc_id"), labelled.MODULUS, labelled.HELD)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _classified(toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("span_begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
@@ -41,6 +52,11 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "matched")
 
 
+def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _classified(quality_rank.classify(docs, quality_rank.train(docs, table(spark, sf_dir, "labels"))), quality_rank.CUT)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(table(spark, sf_dir, "documents"))
 
@@ -80,9 +96,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_url_rules": op6_url_rules,
+    "op7_quality_rank": op7_quality_rank,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
