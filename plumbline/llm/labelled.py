@@ -23,3 +23,10 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int =
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     return texts.join(F.broadcast(parts[0].union(parts[1])), "id")
+
+
+def share(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> float:
+    """The share of label 1 among all labelled rows that are not held out; 0.5 where there are none."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & training_row(F.col(id_col), MODULUS, HELD))
+    found = known.agg(F.avg(F.col(label_col).cast("double"))).head()[0]
+    return 0.5 if found is None else found

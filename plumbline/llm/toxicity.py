@@ -1,6 +1,6 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A logistic model over the words of the whole text (lower-cased, present or not). The words are those of the labelled sample
+A logistic model over the words and word stems of the whole text (lower-cased, present or not). The words are those of the labelled sample
 whose presence tells the classes apart, and all identity terms. For every labelled sentence with an identity term, copies of
 the sentence with the other terms of its group (or a neutral word) in its place are its counterfactuals; the squared change of the
 score's logit under each swap is added to the loss. A swap changes two features only, so the penalty is a quadratic
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm import labelled
-from plumbline.llm.textkit import LOWER, clean, lists, prefix_hash, slices, span_hash, spans
+from plumbline.llm.textkit import LOWER, clean, lists, mix, prefix_hash, slices, span_hash, spans
 
 # Identity terms by group (English, German, French, Spanish); the first of each group is neutral.
 IDENTITY = (
@@ -35,6 +35,10 @@ IDENTITY = (
 )
 #: Words that the model may use besides identity terms, and the weight of the counterfactual penalty.
 VOCABULARY, COUNTERFACTUAL = 4_000, 5.0
+#: Likelihood ratio from which a word counts as telling the classes apart.
+EVIDENCE = 16.0
+#: Bytes of a stem: longer words also count by their beginning.
+STEM = 6
 _NO_WORD = np.ones(256, bool)
 _NO_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _STOPS = np.zeros(256, bool)
@@ -48,10 +52,13 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 def present(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and place of each word."""
+    """Hash, row and place of each word, then of each stem."""
     flat = LOWER[flat]
     starts, ends, first = spans(flat, offsets, _NO_WORD)
-    return span_hash(prefix_hash(flat), starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first)), starts
+    row, prefix = np.repeat(np.arange(len(offsets) - 1), np.diff(first)), prefix_hash(flat)
+    long = np.flatnonzero(ends - starts > STEM)
+    stems = mix(span_hash(prefix, starts[long], starts[long] + STEM) + np.uint64(STEM))
+    return np.concatenate((span_hash(prefix, starts, ends), stems)), np.concatenate((row, row[long])), np.concatenate((starts, starts[long]))
 
 
 def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +90,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, mentions: np.ndarray, vocabulary: int = VOCABULARY, counterfactual: float = COUNTERFACTUAL, ridge: float = 2e-4, steps: int = 400) -> dict:
-    """Chooses words by the z-score of their log odds and learns the weights by accelerated gradient steps."""
+def fit(rows: list[np.ndarray], y: np.ndarray, mentions: np.ndarray, share: float, vocabulary: int = VOCABULARY, counterfactual: float = COUNTERFACTUAL, ridge: float = 2e-5, steps: int = 600) -> dict:
+    """Chooses words by their likelihood ratio and learns the weights by accelerated gradient steps."""
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.0}
     values = np.concatenate(rows)
@@ -92,10 +99,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, mentions: np.ndarray, vocabulary:
     words, index = np.unique(values, return_inverse=True)
     n1, n0 = np.bincount(index, weights=y[owner], minlength=len(words)), np.bincount(index, weights=1 - y[owner], minlength=len(words))
     t1, t0 = y.sum(), (1 - y).sum()
-    odds = np.log((n1 + 0.5) / (t1 - n1 + 0.5)) - np.log((n0 + 0.5) / (t0 - n0 + 0.5))
-    z = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    chosen = np.flatnonzero(np.abs(z) > 4)
-    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:vocabulary]]
+    g = np.zeros(len(words))  # the likelihood ratio of "the word and the class are independent"
+    for seen, total in ((n1, t1), (n0, t0)):
+        for part, expected in ((seen, (n1 + n0) * total / (t1 + t0)), (total - seen, (t1 + t0 - n1 - n0) * total / (t1 + t0))):
+            g += 2 * part * np.log(np.maximum(part, 1e-12) / np.maximum(expected, 1e-12))
+    chosen = np.flatnonzero(g > EVIDENCE)
+    chosen = chosen[np.argsort(-g[chosen], kind="stable")[:vocabulary]]
     terms = _hash([t for group in IDENTITY for t in group])
     names = np.union1d(words[chosen], terms)
     slot = np.minimum(np.searchsorted(names, words), len(names) - 1)
@@ -113,7 +122,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, mentions: np.ndarray, vocabulary:
     left, right, amount = (np.array(x) for x in zip(*swaps))
     amount = counterfactual * amount / amount.sum()
     w, bias, n = np.zeros(len(names)), 0.0, len(y)
-    weight = np.where(y == 1, 0.5 / t1, 0.5 / t0) * n  # both classes count alike
+    weight = np.where(y == 1, share / t1, (1 - share) / t0) * n  # the classes count as in all labels
     ahead, ahead_bias = w.copy(), bias
     rate = 4 / (np.bincount(row).mean() * 0.05 + 1)
     for k in range(steps):
@@ -150,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
         rows += np.split(flat, ends[:-1]) if len(batch) else []
         y.append(batch.column("label").to_numpy())
         mentions += batch.column("mentions").flatten().to_numpy().reshape(len(batch), -1).sum(axis=0)
-    return fit(rows, np.concatenate(y).astype(float) if y else np.zeros(0), mentions)
+    y = np.concatenate(y).astype(float) if y else np.zeros(0)
+    return fit(rows, y, mentions, labelled.share(labels, label_col, id_col))
 
 
 def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
