@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chosen_path, decontaminate, labelled, mpeg_audio, quality_rank, suffix_dedup, toxicity, url_rules
+from plumbline.llm import bpe, chosen_path, decontaminate, labelled, language_id, mpeg_audio, quality_rank, suffix_dedup, toxicity, url_rules
 from plumbline.llm.textkit import training_row
 
 
@@ -25,6 +25,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the metadata's language is the declared one, the source is the host."""
+    return language_id.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: markup language, address suffix, and priors of host and registered domain."""
+    html = F.col("html")
+    return language_id.identify(table(spark, sf_dir, "pages"), "page_id", language_id.plain_text(html), language_id.markup_language(html), language_id.host_of(F.col("url")), suffixes=True)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("span_begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
@@ -97,6 +108,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_language_id": op3_language_id,
+    "pages_language_id": pages_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_url_rules": op6_url_rules,
