@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chosen_path, decontaminate, labelled, language_id, mpeg_audio, quality_rank, suffix_dedup, toxicity, url_rules
+from plumbline.llm import bpe, chosen_path, decontaminate, labelled, language_id, lm_mixing, mpeg_audio, quality_rank, suffix_dedup, toxicity, url_rules
 from plumbline.llm.textkit import training_row
 
 
@@ -25,6 +25,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op2_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_mixing.score(table(spark, sf_dir, "documents"))
+    held = ~training_row(F.col("doc_id"), lm_mixing.MODULUS, lm_mixing.HELD)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: the metadata's language is the declared one, the source is the host."""
     return language_id.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
@@ -108,6 +114,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_mixing": op2_lm_mixing,
     "op3_language_id": op3_language_id,
     "pages_language_id": pages_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
