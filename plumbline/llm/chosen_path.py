@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.textkit import LOWER, clean, expand, mix, prefix_hash, slices, span_hash, spans, stored
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
-HASHES, DEPTH, BUCKET, BLOCK = 64, 3, 64, 4096
+HASHES, DEPTH, BUCKET, BLOCK = 64, 3, 1000, 4096
 #: Share of equal tokens from which two sets are compared exactly: four standard deviations below 0.8.
 PLAUSIBLE = 0.6
 _RNG = np.random.default_rng(77)
