@@ -1 +1 @@
-""""""
+"""The verbs."""

@@ -1 +1 @@
-""""""
+"""Control of execution and diagnostics."""
