@@ -45,7 +45,7 @@ ORDERS = (1, 2, 3, 5, 24)
 #: Bits of the smallest and largest table of a context.
 MIN_BITS, MAX_BITS = 14, 20
 #: Bytes of text whose distinct words are evaluated together, and symbols of a training block.
-GROUP_BYTES, BLOCK = 12_000_000, 8_000
+GROUP_BYTES, BLOCK = 6_000_000, 8_000
 CHUNK = 1 << 12
 #: Mean words between anchors of phrases.
 APART = 8
@@ -59,6 +59,7 @@ _LEVEL = np.minimum(np.log2(np.arange(65_536) + 1).astype(np.int64), 6)
 _CELLS = 25  # of the probability map, for each node
 _GATES = 3 * 28
 _K = len(ORDERS)
+_HALF, _LOWER = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 # --- words and symbols -----------------------------------------------------------------------------------------------
@@ -184,17 +185,28 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 class Mixer:
-    """Count tables, gated weights and the probability map."""
+    """Count tables, gated weights and the probability map.
+
+    A cell holds the ones in its upper and the zeros in its lower 32 bits. ``freeze`` turns the counts into log odds for scoring.
+    """
 
     def __init__(self, code: Code, bits: int):
         self.code, self.bits = code, bits
-        self.zeros, self.ones = np.zeros((_K, 1 << bits), np.uint32), np.zeros((_K, 1 << bits), np.uint32)
-        self.weights = np.full((_GATES, _K + 1), 0.25, np.float32)
-        self.weights[:, -1] = 0
-        self.slopes = np.full((_GATES, _K + 1), 1e-4, np.float32)
-        self.map = np.zeros((2, 256 * _CELLS))
+        self.cells = np.zeros((_K, 1 << bits), np.uint64)
+        self.weights = np.full((_K + 1, _GATES), 0.25, np.float32)
+        self.weights[-1] = 0
+        self.slopes = np.full((_K + 1, _GATES), 1e-4, np.float32)
+        self.map = np.zeros(2 * 256 * _CELLS)
         self.seen = np.zeros(_GATES)
 
+    def freeze(self, zeros: np.ndarray, ones: np.ndarray) -> None:
+        self.odds = np.empty((_K, 1 << self.bits), np.float32)
+        for k in range(_K):
+            np.subtract(_LOG[ones[k]], _LOG[zeros[k]], out=self.odds[k])
+        level = lambda k: _LEVEL[np.minimum(zeros[k].astype(np.int64) + ones[k], 65_535)]
+        self.level = np.stack([np.minimum(level(_K - 3) // 2, 3), 4 * level(_K - 1)]).astype(np.uint8)
+        self.cells = None
+
     def locate(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """The decisions of some symbols: symbol, node and bit of each, and its cell under each context."""
         code, size = self.code, self.code.size[symbols]
@@ -205,53 +217,61 @@ class Mixer:
         cells = [((contexts[k][owner] ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64) for k in range(_K)]
         return owner, node, code.bit[path], cells
 
-    def predict(self, node: np.ndarray, y: np.ndarray, kind: np.ndarray, cells: list[np.ndarray], own: int = 0):
-        """Inputs, gates, mixed probability, place in the map, log probability. ``own``: what the decision itself has added to its counts."""
-        x = np.empty((_K + 1, len(node)), np.float32)
-        mine, gate = y.astype(np.uint32) * np.uint32(own), 28 * kind
+    def inputs(self, y: np.ndarray, kind: np.ndarray, cells: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The log odds of the counts under each context, each without what the decision itself has added; and the gates."""
+        x, gate, own = [], 28 * kind, np.where(y, np.uint64(1 << 32), np.uint64(1))
+        for k in range(_K):
+            pair = np.take(self.cells[k], cells[k]) - own
+            one, zero = (pair >> _HALF).view(np.int64), (pair & _LOWER).view(np.int64)
+            np.minimum(one, 65_535, out=one)
+            np.minimum(zero, 65_535, out=zero)
+            x.append(np.take(_LOG, one) - np.take(_LOG, zero))
+            if k in (_K - 3, _K - 1):
+                level = np.take(_LEVEL, np.minimum(zero + one, 65_535))
+                gate = gate + (4 * level if k == _K - 1 else np.minimum(level // 2, 3))
+        return x, gate
+
+    def frozen_inputs(self, kind: np.ndarray, cells: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        gate = 28 * kind + np.take(self.level[0], cells[_K - 3]) + np.take(self.level[1], cells[_K - 1])
+        return [np.take(self.odds[k], cells[k]) for k in range(_K)], gate
+
+    def predict(self, node: np.ndarray, y: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mixed probability, place in the map, and the log probability of each decision after refinement."""
+        z = np.take(self.weights[_K], gate) * np.float32(0.5)
         for k in range(_K):
-            one = np.minimum(self.ones[k][cells[k]] - mine, 65_535)
-            zero = np.minimum(self.zeros[k][cells[k]] - (np.uint32(own) - mine), 65_535)
-            np.subtract(_LOG[one], _LOG[zero], out=x[k])
-            if k == _K - 3:
-                gate = gate + np.minimum(_LEVEL[np.minimum(zero + one, 65_535)] // 2, 3)
-            if k == _K - 1:
-                gate = gate + 4 * _LEVEL[np.minimum(zero + one, 65_535)]
-        x[_K] = 0.5
-        z = np.zeros(len(node), np.float32)
-        for k in range(_K + 1):
-            z += self.weights[gate, k] * x[k]
+            z += np.take(self.weights[k], gate) * x[k]
         np.clip(z, -11, 11, out=z)
         p = 1 / (1 + np.exp(-z))
-        spot = node * _CELLS + np.rint(z * (12 / 11) + 12).astype(np.int64)
-        refined = (self.map[1][spot] + 16 * p) / (self.map[0][spot] + self.map[1][spot] + 16)
-        final = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-        return x, gate, p, spot, np.log(np.where(y, final, 1 - final))
+        spot = 2 * (node * _CELLS + np.rint(z * (12 / 11) + 12).astype(np.int64))
+        zero, one = np.take(self.map, spot), np.take(self.map, spot + 1)
+        final = np.clip((p + (one + 16 * p) / (zero + one + 16)) / 2, 1e-6, 1 - 1e-6)
+        return p, spot, np.log(np.where(y, final, 1 - final))
 
     def learn(self, units: Units, times: np.ndarray) -> float:
         """Block by block: count, predict every decision by the counts without itself, and step against the cost.
 
         ``times`` says how often each unit occurs; every occurrence weighs alike. Returns the cost in nats.
         """
-        cost, width = 0.0, self.map.shape[1]
+        cost = 0.0
         for a in range(0, len(units.at), BLOCK):
             b = min(a + BLOCK, len(units.at))
             owner, node, y, cells = self.locate(units.contexts(a, b), units.symbol[a:b])
             often = times[units.unit[a:b]][owner]
-            add = often.astype(np.uint32)
+            add = often.astype(np.uint64) << np.where(y, _HALF, np.uint64(0))
             for k in range(_K):
-                np.add.at(self.ones[k], cells[k][y], add[y])
-                np.add.at(self.zeros[k], cells[k][~y], add[~y])
-            x, gate, p, spot, log = self.predict(node, y, units.kind[a:b][owner], cells, 1)
+                np.add.at(self.cells[k], cells[k], add)
+            x, gate = self.inputs(y, units.kind[a:b][owner], cells)
+            p, spot, log = self.predict(node, y, x, gate)
+            often = often.astype(np.float64)
             cost -= float((log * often).sum())
             error = (y - p) * often
-            n = np.bincount(gate, weights=often, minlength=_GATES)
+            n = np.bincount(gate, often, _GATES)
             for k in range(_K + 1):
-                slope = np.bincount(gate, weights=error * x[k], minlength=_GATES) / np.maximum(n, 1)
-                self.slopes[:, k] += slope**2
-                self.weights[:, k] += RATE * slope / np.sqrt(self.slopes[:, k])
+                slope = np.bincount(gate, error * x[k] if k < _K else error * 0.5, _GATES) / np.maximum(n, 1)
+                self.slopes[k] += slope**2
+                self.weights[k] += RATE * slope / np.sqrt(self.slopes[k])
             self.seen += n
-            self.map += np.stack([np.bincount(spot[~y], often[~y], width), np.bincount(spot[y], often[y], width)])
+            self.map += np.bincount(spot + y, often, len(self.map))
         return cost
 
     def costs(self, units: Units) -> np.ndarray:
@@ -260,7 +280,7 @@ class Mixer:
         for a in range(0, len(units.at), BLOCK):
             b = min(a + BLOCK, len(units.at))
             owner, node, y, cells = self.locate(units.contexts(a, b), units.symbol[a:b])
-            log = self.predict(node, y, units.kind[a:b][owner], cells)[-1]
+            log = self.predict(node, y, *self.frozen_inputs(units.kind[a:b][owner], cells))[-1]
             low = int(units.unit[a])
             part = np.bincount(units.unit[a:b][owner] - low, weights=log)
             out[low : low + len(part)] += part
@@ -370,11 +390,11 @@ def _map_learn(code: Code, bits: int, buckets: int):
                 mixer.learn(units, times)
                 used = True
         if used:
-            zeros, ones = mixer.zeros.ravel(), mixer.ones.ravel()
-            at = np.flatnonzero(zeros | ones)
-            edges = np.searchsorted(at, np.arange(0, len(zeros) + CHUNK, CHUNK))
-            rows = [(COUNTS, c, _blob((at[a:b] % CHUNK).astype(np.uint16), zeros[at[a:b]], ones[at[a:b]]), b"", b"", b"") for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
-            rows.append((WEIGHTS, 0, (mixer.weights.astype(np.float64) * mixer.seen[:, None]).tobytes(), mixer.seen.tobytes(), b"", b""))
+            cells = mixer.cells.ravel()
+            at = np.flatnonzero(cells)
+            edges = np.searchsorted(at, np.arange(0, len(cells) + CHUNK, CHUNK))
+            rows = [(COUNTS, c, _blob((at[a:b] % CHUNK).astype(np.uint16), (cells[at[a:b]] & _LOWER).astype(np.uint32), (cells[at[a:b]] >> _HALF).astype(np.uint32)), b"", b"", b"") for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+            rows.append((WEIGHTS, 0, (mixer.weights.astype(np.float64) * mixer.seen).tobytes(), mixer.seen.tobytes(), b"", b""))
             rows.append((MAP, 0, mixer.map.tobytes(), b"", b"", b""))
             for a in range(0, len(rows), 256):
                 yield _learned(rows[a : a + 256])
@@ -589,11 +609,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         elif kind == TABLE:
             zeros[part * CHUNK : (part + 1) * CHUNK], ones[part * CHUNK : (part + 1) * CHUNK] = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
         elif kind == 3:
-            seen = np.frombuffer(b, np.float64)[:, None]
-            mixer.weights = np.where(seen > 0, np.frombuffer(a, np.float64).reshape(_GATES, -1) / np.maximum(seen, 1), mixer.weights).astype(np.float32)
+            seen = np.frombuffer(b, np.float64)
+            mixer.weights = np.where(seen > 0, np.frombuffer(a, np.float64).reshape(-1, _GATES) / np.maximum(seen, 1), mixer.weights).astype(np.float32)
         else:
-            mixer.map = np.frombuffer(a, np.float64).reshape(2, -1).copy()
-    mixer.zeros, mixer.ones = zeros.reshape(_K, -1), ones.reshape(_K, -1)
+            mixer.map = np.frombuffer(a, np.float64).copy()
+    mixer.freeze(zeros.reshape(_K, -1), ones.reshape(_K, -1))
     spelled = rows.mapInArrow(_spell(spark.sparkContext.broadcast(mixer), buckets), _SPELLED)
     settled = spelled.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("d")).otherwise(F.col("bucket"))).mapInArrow(_settle, "d binary, sums binary")
     scored = settled.repartition(tasks, "d").mapInArrow(_total, "own long, key long, n_bytes long, score double")
