@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,6 +29,15 @@ from plumbline.llm.textkit import expand, lists, slices
 
 #: The pattern that splits a text into words; a fixed value of this family of tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters that newer Unicode versions know as letters or numbers, but the tokenizers library (16.0) takes for neither.
+LATE = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    "\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
 #: Words and pairs that a worker remembers; beyond that it forgets all and goes on.
 CACHED_WORDS, CACHED_PAIRS = 400_000, 1_000_000
 _LONG = 48
@@ -55,7 +65,11 @@ class ByteBPE:
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]):
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.single = [self.ids[bytes((b,))] for b in range(256)]
-        self.find = regex.compile(pattern).findall
+        find, late = regex.compile(pattern).findall, re.compile(f"[{LATE}]").search
+        letters, numbers = f"[\\p{{L}}--[{LATE}]]", f"[\\p{{N}}--[{LATE}]]"
+        others = rf"(?:[^\s\p{{L}}\p{{N}}]|[{LATE}])"
+        careful = regex.compile("(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", others).replace(r"?\p{L}", f"?{letters}").replace(r"?\p{N}", f"?{numbers}")).findall
+        self.find = lambda text: find(text) if text.isascii() or not late(text) else careful(text)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.base = max(self.bytes) + 1
         sizes = np.zeros(self.base, np.int64)

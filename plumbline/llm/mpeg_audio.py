@@ -3,7 +3,7 @@
 ``store`` writes, per row, an ID3v2 tag (with the payload's size), a frame with a table of the variable bit rate, and
 checksummed Layer III frames of silence at 48 kHz whose ancillary data are the payload; every frame has the smallest
 bit rate that holds what is left. ``parse`` reads any such column: it skips tags at either end, looks for frame headers
-again after rubbish (a candidate counts when another header, or the end, follows where its length says), checks each
+again after rubbish (a candidate counts when its checksum holds, or another header, a tag or the end follows where its length says), checks each
 frame's CRC-16, reads Xing/Info tables, and returns the exact duration as samples, the seek offset of each frame, the
 ancillary payload and counts of what it met.
 
@@ -166,6 +166,11 @@ def _trailing_tag(data: bytes, at: int) -> int:
     return 0
 
 
+def _sound(data: bytes, at: int, h: Header) -> bool:
+    """Whether a Layer III frame's checksum holds."""
+    return checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def read(data: bytes) -> dict:
     """Everything that a stream tells; see ``SCHEMA``."""
     at, size, tags = _leading_tags(data)
@@ -178,7 +183,7 @@ def read(data: bytes) -> dict:
         ok = h is not None and at + h.size <= end
         if ok and skipped_last:
             follows = at + h.size
-            ok = follows == end or header(data, follows) is not None or _trailing_tag(data, follows) > 0
+            ok = follows == end or header(data, follows) is not None or _trailing_tag(data, follows) > 0 or (h.checked and h.layer == 3 and _sound(data, at, h))
         if not ok and (length := _trailing_tag(data, at)):
             at, tags = at + length, tags + 1
             continue
@@ -191,7 +196,7 @@ def read(data: bytes) -> dict:
         skipped_last = False
         sample_rate = sample_rate or h.sample_rate
         body = at + 4 + 2 * h.checked + h.side
-        if h.checked and h.layer == 3 and checksum(data[at + 2 : at + 4] + data[at + 6 : body]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+        if h.checked and h.layer == 3 and not _sound(data, at, h):
             bad += 1
         if first and data[body : body + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
