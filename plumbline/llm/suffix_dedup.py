@@ -397,37 +397,44 @@ def _meet_contents(length: int):
 # --- step 3: documents lose their spans -----------------------------------------------------------------------------
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, flat, offsets in slices(batch):
-            begins, ends = part.column("begins"), part.column("ends")
-            counts = np.diff(begins.offsets.to_numpy()) * begins.is_valid().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(part)), counts)
-            depth = np.zeros(len(flat) + 1, np.int32)
-            np.add.at(depth, offsets[row] + begins.flatten().to_numpy(), 1)
-            np.add.at(depth, offsets[row] + ends.flatten().to_numpy(), -1)
-            gone = np.cumsum(depth)[: len(flat)] > 0
-            first, last = gone.copy(), gone.copy()
-            first[1:] &= ~gone[:-1]
-            last[:-1] &= ~gone[1:]
-            inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(flat))]
-            first[inner], last[inner - 1] = gone[inner], gone[inner - 1]
-            a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-            home = np.searchsorted(offsets, a, "right") - 1
-            spans = np.bincount(home, minlength=len(part))
-            removed = np.concatenate(([0], np.cumsum(gone)))[offsets]
-            kept, data = offsets - removed, flat[~gone]
-            yield pa.RecordBatch.from_arrays(
-                [
+def _cut(texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, flat, offsets in slices(batch):
+                begins, ends = part.column("begins"), part.column("ends")
+                counts = np.diff(begins.offsets.to_numpy()) * begins.is_valid().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(part)), counts)
+                depth = np.zeros(len(flat) + 1, np.int32)
+                np.add.at(depth, offsets[row] + begins.flatten().to_numpy(), 1)
+                np.add.at(depth, offsets[row] + ends.flatten().to_numpy(), -1)
+                gone = np.cumsum(depth)[: len(flat)] > 0
+                first, last = gone.copy(), gone.copy()
+                first[1:] &= ~gone[:-1]
+                last[:-1] &= ~gone[1:]
+                inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(flat))]
+                first[inner], last[inner - 1] = gone[inner], gone[inner - 1]
+                a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+                home = np.searchsorted(offsets, a, "right") - 1
+                spans = np.bincount(home, minlength=len(part))
+                removed = np.concatenate(([0], np.cumsum(gone)))[offsets]
+                kept, data = offsets - removed, flat[~gone]
+                columns = [
                     part.column("id"), pa.array(np.diff(offsets)), pa.array(np.diff(removed)), lists((a - offsets[home]).astype(np.int32), spans), lists((b - offsets[home]).astype(np.int32), spans),
                     pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]),
-                ],
-                ["id", "n_bytes", "n_removed", "span_begins", "span_ends", "kept"],
-            )
+                ]
+                if texts:
+                    whole = data.tobytes()
+                    columns.append(pa.array([whole[x:y].decode("utf-8", "ignore") if cut else None for x, y, cut in zip(kept[:-1], kept[1:], np.diff(removed))], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "span_begins", "span_ends", "kept", "kept_text"][: len(columns)])
+
+    return run
+
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, texts: bool = False) -> DataFrame:
+    """Per document: its id, ``n_bytes``, ``n_removed``, the maximal removed runs (``span_begins``, ``span_ends``, in bytes) and the bytes kept (``kept``).
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Per document: its id, ``n_bytes``, ``n_removed``, the maximal removed runs (``span_begins``, ``span_ends``, in bytes) and the bytes kept (``kept``)."""
+    ``texts`` adds ``kept_text``: for documents that lost bytes what is left as text; a character that a cut goes through goes as a whole.
+    """
     spark = docs.sparkSession
     rows = clean(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -443,7 +450,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     spans = spans.groupBy("id").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
     none = F.lit(None).cast("array<int>")
     every = dealt.join(spans, "id", "left").select("id", "text", "begins", "ends").union(rows.filter("id IS NULL").select("id", "text", none, none))
-    out = every.mapInArrow(_cut, "id long, n_bytes long, n_removed long, span_begins array<int>, span_ends array<int>, kept binary")
+    out = every.mapInArrow(_cut(texts), "id long, n_bytes long, n_removed long, span_begins array<int>, span_ends array<int>, kept binary" + ", kept_text string" * texts)
     return out.withColumnRenamed("id", id_col)
 
 
