@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import expand, lists, slices
+from plumbline.llm.textkit import expand, lists, slices, small_batches, tidy
 
 #: The pattern that splits a text into words; a fixed value of this family of tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,7 +39,7 @@ LATE = (
     "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
 #: Words and pairs that a worker remembers; beyond that it forgets all and goes on.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 1_000_000
+CACHED_WORDS, CACHED_PAIRS = 200_000, 1_000_000
 _LONG = 48
 
 
@@ -227,6 +227,7 @@ def tokenizer(path: str) -> ByteBPE:
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the id, the kept columns, and the token ids of the whole text (``ids``, array<int>)."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`"), *(F.col(f"`{k}`") for k in keep), F.col(f"`{text_col}`").alias("__text"))
     names = [id_col, *keep]
 
@@ -237,9 +238,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 data = flat.tobytes()
                 ids, counts = bpe.encode_batch([data[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists(ids, counts)], [*names, "ids"])
+        bpe._forget()
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(run, f"{own}, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"{own}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -261,6 +263,6 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...]
                 at = end
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{own}, decoded string")
+    return rows.mapInArrow(tidy(run), f"{own}, decoded string")
 
 

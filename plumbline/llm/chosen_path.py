@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import LOWER, clean, expand, mix, prefix_hash, slices, span_hash, spans, stored
+from plumbline.llm.textkit import LOWER, clean, expand, mix, prefix_hash, slices, span_hash, spans, stored, tidy
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 HASHES, DEPTH, BUCKET, BLOCK = 64, 3, 1000, 4096
@@ -329,7 +329,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """Per document: its id, ``class_id`` (the smallest id that links lead to) and ``n_links`` (other documents of this similarity or more)."""
     spark = docs.sparkSession
     rows = clean(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    described = rows.mapInArrow(_map_sets(words), "id long, one long, two long, n int, tokens binary")
+    described = rows.mapInArrow(tidy(_map_sets(words)), "id long, one long, two long, n int, tokens binary")
     sets = stored(described, "sets")
     classes = sets.filter("n > 0 AND id IS NOT NULL").groupBy("one", "two").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = stored(classes, "classes")
@@ -337,7 +337,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     ended = _buckets(classes, runs_for(recall, similarity), DEPTH, bucket, block)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = _units(ended, "path", F.ceil(F.col("size") / block), "id").select("unit", "side", "id", "tokens")
-    tied = units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(_tie(PLAUSIBLE), "a long, b long")
+    tied = units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(tidy(_tie(PLAUSIBLE)), "a long, b long")
     groups = components(tied)
 
     members = groups.join(classes.select(F.col("id").alias("v"), "one", "two", "copies", "n"), "v")
@@ -345,7 +345,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     members = members.join(sizes, "label").select(F.col("v").alias("id"), "label", "one", "two", "copies", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / 4_000_000)).alias("spread"))
     units = _units(members, "label", F.col("spread"), "id").select("id", "one", "two", "copies", "unit", "side")
     wholes = rows.join(units, "id").select("id", "text", "one", "two", "copies", "unit", "side")
-    compared = wholes.mapInArrow(_map_members(words), "id long, copies long, unit long, side int, shingles binary").repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(_compare(similarity), "id long, links long, root long")
+    compared = wholes.mapInArrow(tidy(_map_members(words)), "id long, copies long, unit long, side int, shingles binary").repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(tidy(_compare(similarity)), "id long, links long, root long")
     compared = stored(compared, "links")
 
     found = components(compared.filter("root <> id").select(F.col("root").alias("a"), F.col("id").alias("b")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import clean, lists, slices
+from plumbline.llm.textkit import clean, lists, slices, tidy
 
 WINDOW = 8
 #: Words of items whose index a task holds at once.
@@ -157,7 +157,7 @@ def _count(spark: SparkSession, docs: DataFrame, index) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
 
     out = np.zeros(len(index.value.shingles), np.int64)
-    for k, n in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+    for k, n in docs.select("text").mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         out[k] = n
     return out
 
@@ -174,9 +174,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for block in item_blocks(items, block_words) or ():
         index = WindowIndex(block, window)
         index.order(_count(spark, rows, spark.sparkContext.broadcast(index)))
-        parts.append(rows.mapInArrow(_finder(spark.sparkContext.broadcast(index), item_type), schema))
+        parts.append(rows.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(index), item_type)), schema))
     if not parts:
-        parts = [rows.mapInArrow(_finder(spark.sparkContext.broadcast(_ordered(WindowIndex([], window))), item_type), schema)]
+        parts = [rows.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(_ordered(WindowIndex([], window))), item_type)), schema)]
     spans = lambda c: F.transform(F.arrays_zip("begins", "ends"), lambda x: F.struct(x["begins"].alias("begin"), x["ends"].alias("end")))
     if len(parts) == 1:
         return parts[0].select(F.col("id").alias(id_col), "n_words", spans(None).alias("hit_spans"), "items")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import training_row
+from plumbline.llm.textkit import small_batches, training_row
 
 #: Labelled rows per class that a classifier learns from: those whose ids have the smallest hashes, so that the choice does not
 #: depend on partitions. All labelled rows count where a class has no more.
@@ -19,6 +19,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int =
     The chosen labels are bounded by the parameter, so they are broadcast to the documents. Null ids, labels and texts are no
     examples; a repeated row is an example each time.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & training_row(F.col("id"), MODULUS, HELD))
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import LOWER, expand, lists, slices, stored
+from plumbline.llm.textkit import LOWER, expand, lists, slices, small_batches, stored, tidy
 
 GRAMS, TEMPER, STRENGTH, SHARE = 1 << 14, 0.2, 20.0, 0.002
 CONFIDENT, FLOOR, FEW, PLAIN = 0.5, 3.0, 50, 200
@@ -87,7 +87,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     names = [r[0] for r in shares.filter(F.col("count") >= F.lit(SHARE * total)).orderBy("declared").collect()]  # 1 / SHARE rows at most
     table = np.zeros((GRAMS, max(len(names), 1)))
     known = {n: k for k, n in enumerate(names)}
-    counted = rows.filter(F.col("declared").isin(names)).select("declared", "text").mapInArrow(_count, "declared string, cell int, n long").groupBy("declared", "cell").agg(F.sum("n").alias("n"))
+    counted = rows.filter(F.col("declared").isin(names)).select("declared", "text").mapInArrow(tidy(_count), "declared string, cell int, n long").groupBy("declared", "cell").agg(F.sum("n").alias("n"))
     for name, cell, n in counted.toLocalIterator():  # GRAMS rows for each language at most
         table[cell, known[name]] = n
     p = 0.98 * (table + 0.05) / (table + 0.05).sum(axis=0) + 0.02 / GRAMS
@@ -121,6 +121,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text: Column | None = None,
 
     ``suffixes`` tells whether hosts are addresses, whose last label is evidence and whose last two labels are the registered domain.
     """
+    small_batches(df.sparkSession)
     none = F.lit(None).cast("string")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), (F.col("text") if text is None else text).alias("text"), code(none if declared is None else declared).alias("declared"), (none if host is None else host).alias("host"))
     suffix = F.element_at(F.split("host", r"\."), -1) if suffixes else none
@@ -130,7 +131,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text: Column | None = None,
         return rows.select(F.col("id").alias(id_col), "declared", "host", suffix.alias("suffix"), F.lit(0).cast("long").alias("n_grams"), none.alias("text_language"), none.alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(True).alias("accepted"))
     kept = ["id", "declared", "host"]
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(_likelihood(table, kept), f"id {kind}, declared string, host string, n_grams long, text_ll array<double>")
+    scored = rows.mapInArrow(tidy(_likelihood(table, kept)), f"id {kind}, declared string, host string, n_grams long, text_ll array<double>")
     scored = stored(scored.withColumn("suffix", suffix).withColumn("domain", domain).withColumn("text_best", F.when(F.col("n_grams") >= FEW, _best(F.col("text_ll")))), "languages")
 
     n = len(names)

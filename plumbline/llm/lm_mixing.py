@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import LOWER, clean, expand, mix, powers, prefix_hash, slices, span_hash, spans, stored, training_row
+from plumbline.llm.textkit import LOWER, clean, expand, mix, powers, prefix_hash, slices, span_hash, spans, stored, tidy, training_row
 
 MODULUS, HELD = 7, 2
 #: Lengths of the contexts in bytes; the last one stands for the whole word.
@@ -590,15 +590,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     rows = clean(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("key"), F.coalesce(training_row(F.col("id"), modulus, held), F.lit(False)).alias("train"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     counts = np.zeros(257, np.int64)
-    for symbol, n in rows.filter("train").select("text").mapInArrow(symbol_counts, "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect():  # 257 rows
+    for symbol, n in rows.filter("train").select("text").mapInArrow(tidy(symbol_counts), "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect():  # 257 rows
         counts[symbol] = n
     total = int(counts.sum())
     code, bits = Code(counts), int(np.clip(np.ceil(np.log2(total + 1)) - 4, MIN_BITS, max_bits))
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 24_000_000)
     buckets = 2 * tasks
-    learned = rows.mapInArrow(_map_learn(code, bits, buckets), _LEARNED)
-    merged = stored(learned.repartition(tasks, "kind", "part").mapInArrow(_merge, _MERGED), "mixing")
+    learned = rows.mapInArrow(tidy(_map_learn(code, bits, buckets)), _LEARNED)
+    merged = stored(learned.repartition(tasks, "kind", "part").mapInArrow(tidy(_merge), _MERGED), "mixing")
     mixer = Mixer(code, bits)
     zeros, ones = np.zeros(_K << bits, np.uint16), np.zeros(_K << bits, np.uint16)
     train_tokens = vocabulary = 0
@@ -614,10 +614,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         else:
             mixer.map = np.frombuffer(a, np.float64).copy()
     mixer.freeze(zeros.reshape(_K, -1), ones.reshape(_K, -1))
-    spelled = rows.mapInArrow(_spell(spark.sparkContext.broadcast(mixer), buckets), _SPELLED)
-    settled = spelled.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("d")).otherwise(F.col("bucket"))).mapInArrow(_settle, "d binary, sums binary")
-    scored = settled.repartition(tasks, "d").mapInArrow(_total, "own long, key long, n_bytes long, score double")
-    sums = merged.filter(F.col("kind") == SUMS).select("a", "b", "c").repartition(tasks, "a").mapInArrow(_sum_up, "id long, key long, n_tokens long, n_known long, logs double")
+    spelled = rows.mapInArrow(tidy(_spell(spark.sparkContext.broadcast(mixer), buckets)), _SPELLED)
+    settled = spelled.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("d")).otherwise(F.col("bucket"))).mapInArrow(tidy(_settle), "d binary, sums binary")
+    scored = settled.repartition(tasks, "d").mapInArrow(tidy(_total), "own long, key long, n_bytes long, score double")
+    sums = merged.filter(F.col("kind") == SUMS).select("a", "b", "c").repartition(tasks, "a").mapInArrow(tidy(_sum_up), "id long, key long, n_tokens long, n_known long, logs double")
     sums = sums.groupBy("id", "key").agg(*(F.first(c).alias(c) for c in ("n_tokens", "n_known", "logs")))
     each = float(np.log10(train_tokens + vocabulary + 1))
     out = scored.join(sums.withColumnRenamed("id", "own"), ["own", "key"]).withColumn("id", F.when(F.col("own") != NO_ID, F.col("own")))

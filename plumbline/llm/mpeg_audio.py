@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.textkit import clean, lists, slices
+from plumbline.llm.textkit import clean, lists, slices, tidy
 
 # Fixed values of the format: bit rates (kbit/s) by index for MPEG-1 and MPEG-2/2.5, layers I to III; sample rates.
 RATES = {
@@ -238,7 +238,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: i
 
     rows = clean(df, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def parse(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -261,4 +261,4 @@ def parse(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()) -
 
     picked = df.select(*names)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    return picked.mapInArrow(run, f"{own}, {SCHEMA}")
+    return picked.mapInArrow(tidy(run), f"{own}, {SCHEMA}")

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import clean, expand, lists, mix, powers, prefix_hash, slices, span_hash
+from plumbline.llm.textkit import clean, expand, lists, mix, powers, prefix_hash, slices, span_hash, tidy
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose runs a task gathers before it packs them, and bytes of text per reducing task.
-FLUSH_BYTES, TASK_BYTES = 24_000_000, 16_000_000
+FLUSH_BYTES, TASK_BYTES = 12_000_000, 16_000_000
 #: Contents of one key above which its windows are split by a second minimum.
 HOT = 2_000
 FULL, ASKED, SPLIT = 1, 2, 3
@@ -441,16 +441,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     tasks = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
     buckets = 4 * tasks
     known = rows.filter("id IS NOT NULL")
-    runs = known.mapInArrow(_map_runs(length, gram, buckets), _PACKED)
+    runs = known.mapInArrow(tidy(_map_runs(length, gram, buckets)), _PACKED)
     spread = F.when(F.col("bucket") < 0, F.xxhash64("places")).otherwise(F.col("bucket").cast("long"))
-    codes = runs.repartition(tasks, spread).mapInArrow(_meet_runs(hot), _CODES).groupBy("id").agg(F.flatten(F.collect_list("codes")).alias("codes"))
+    codes = runs.repartition(tasks, spread).mapInArrow(tidy(_meet_runs(hot)), _CODES).groupBy("id").agg(F.flatten(F.collect_list("codes")).alias("codes"))
     dealt = known.repartition(tasks, "id")
-    contents = dealt.join(codes, "id").select("id", "text", "codes").mapInArrow(_map_contents(length, gram, buckets), _PIECES)
-    spans = contents.repartition(tasks, "bucket").mapInArrow(_meet_contents(length), _SPANS)
+    contents = dealt.join(codes, "id").select("id", "text", "codes").mapInArrow(tidy(_map_contents(length, gram, buckets)), _PIECES)
+    spans = contents.repartition(tasks, "bucket").mapInArrow(tidy(_meet_contents(length)), _SPANS)
     spans = spans.groupBy("id").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
     none = F.lit(None).cast("array<int>")
     every = dealt.join(spans, "id", "left").select("id", "text", "begins", "ends").union(rows.filter("id IS NULL").select("id", "text", none, none))
-    out = every.mapInArrow(_cut(texts), "id long, n_bytes long, n_removed long, span_begins array<int>, span_ends array<int>, kept binary" + ", kept_text string" * texts)
+    out = every.mapInArrow(tidy(_cut(texts)), "id long, n_bytes long, n_removed long, span_begins array<int>, span_ends array<int>, kept binary" + ", kept_text string" * texts)
     return out.withColumnRenamed("id", id_col)
 
 

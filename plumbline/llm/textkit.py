@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -13,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a worker holds unpacked at once; one longer text makes a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _RNG = np.random.default_rng(20240229)
@@ -30,6 +33,7 @@ LOWER_TABLE = bytes(LOWER)
 
 def clean(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names, cast to the types that the operators use; all other columns go."""
+    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
@@ -125,8 +129,26 @@ def lists(values: np.ndarray | pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, which gives its memory back to the system when a task ends, as workers live on and wait for other work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, if the session has Spark's default: whole texts are long, and several workers share an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def training_row(doc_id: Column, modulus: int, held: int) -> Column:
@@ -134,10 +156,6 @@ def training_row(doc_id: Column, modulus: int, held: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus != held
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster names for checkpoints; tests, which set none, get one below the warehouse."""
     import uuid

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm import labelled
-from plumbline.llm.textkit import LOWER, clean, lists, mix, prefix_hash, slices, span_hash, spans
+from plumbline.llm.textkit import LOWER, clean, lists, mix, prefix_hash, slices, span_hash, spans, tidy
 
 # Identity terms by group (English, German, French, Spanish); the first of each group is neutral.
 IDENTITY = (
@@ -167,7 +167,7 @@ def score(flat: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = labelled.PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    chosen = labelled.sample(docs, labels, label_col, per_class, id_col, text_col).mapInArrow(_examples, "label int, words array<long>, mentions array<int>")
+    chosen = labelled.sample(docs, labels, label_col, per_class, id_col, text_col).mapInArrow(tidy(_examples), "label int, words array<long>, mentions array<int>")
     rows, y, mentions = [], [], np.zeros(sum(map(len, IDENTITY)), np.int64)
     for batch in chosen.toArrow().to_batches():
         words = batch.column("words")
@@ -189,4 +189,4 @@ def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     rows = clean(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, score double").withColumnRenamed("id", id_col)

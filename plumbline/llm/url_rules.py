@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import clean, utf8
+from plumbline.llm.textkit import clean, tidy, utf8
 
 ONE, TOP = np.uint64(1), np.uint64(63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -145,4 +145,4 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             )
 
     kind = canonical.schema["id"].dataType.simpleString()
-    return canonical.mapInArrow(scan, f"id {kind}, host string, path string, rule string, matched string, verdict string").withColumnRenamed("id", id_col)
+    return canonical.mapInArrow(tidy(scan), f"id {kind}, host string, path string, rule string, matched string, verdict string").withColumnRenamed("id", id_col)
