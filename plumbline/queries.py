@@ -170,7 +170,7 @@ plain("bind_rows_bool", "SELECT CAST(n_regionkey > 2 AS INT) AS x FROM nation UN
 plain("bind_rows_id", "SELECT 'near' AS part, n_name FROM nation WHERE n_regionkey < 2 UNION ALL SELECT 'far', n_name FROM nation WHERE n_regionkey >= 2", lambda t: bind_rows(near=t.nation.filter(c.n_regionkey < 2).select("n_name"), far=t.nation.filter(c.n_regionkey >= 2).select("n_name"), id="part"))
 plain("bind_rows_unnamed_id", "SELECT '1' AS part, r_name FROM region UNION ALL SELECT '2', r_name FROM region", lambda t: bind_rows(t.region.select("r_name"), None, t.region.select("r_name"), id="part"))
 plain("bind_rows_empty", "SELECT r_regionkey, r_name FROM region", lambda t: bind_rows(t.region, t.region.filter(False)))
-plain("bind_cols", "SELECT n_nationkey, n_name, s_suppkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) USING (i)", lambda t: bind_cols(t.nation.arrange("n_nationkey").select("n_nationkey", "n_name"), t.supplier.arrange("s_suppkey").head(25).select("s_suppkey")))
+plain("bind_cols", "SELECT a.n_nationkey, a.n_name, b.n_nationkey AS other FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY n_nationkey DESC) AS i FROM nation) b USING (i)", lambda t: bind_cols(t.nation.arrange("n_nationkey").select("n_nationkey", "n_name"), t.nation.arrange(desc("n_nationkey")).select(other="n_nationkey")))
 plain("bind_cols_repair", 'SELECT r_name AS "r_name...1", r_name AS "r_name...2", r_regionkey FROM region', lambda t: bind_cols(t.region.arrange("r_regionkey").select("r_name"), t.region.arrange("r_regionkey").select("r_name", "r_regionkey")))
 
 # --- control and workflows ------------------------------------------------------------------------------------------------
