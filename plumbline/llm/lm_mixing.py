@@ -27,6 +27,7 @@ Only the named columns are read, whatever other columns are called.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -348,6 +349,15 @@ _LEARNED = "kind int, part long, a binary, b binary, c binary, d binary"
 TOKENS, COUNTS, WEIGHTS, MAP = 0, 1, 2, 3
 
 
+def _mark(table: bytes, n: int) -> bytes:
+    """What stands for a slice's table of documents in its rows: a digest and the number of documents."""
+    return hashlib.blake2b(table, digest_size=16).digest() + n.to_bytes(4, "little")
+
+
+def _count(mark: bytes) -> int:
+    return int.from_bytes(mark[16:], "little")
+
+
 def _blob(*arrays: np.ndarray) -> bytes:
     return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
 
@@ -372,11 +382,13 @@ def _map_learn(code: Code, bits: int, buckets: int):
         per = np.bincount(of, minlength=len(names))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
         at = np.concatenate(([0], np.cumsum(per)))
-        docs = _blob(ids, keys, np.bincount(row, minlength=len(ids)))
+        table = _blob(ids, keys, np.bincount(row, minlength=len(ids)))
+        mark = _mark(table, len(ids))
+        yield TOKENS, -1 - int.from_bytes(mark[:4], "little") % buckets, b"", b"", table, mark
         for b in range(buckets):
             lo, hi = edges[b], edges[b + 1]
             if lo < hi:
-                yield TOKENS, b, names[order[lo:hi]].tobytes(), _blob(seen[lo:hi].astype(np.int32), per[lo:hi].astype(np.int32)), _blob(doc[at[lo] : at[hi]].astype(np.int32), counts[at[lo] : at[hi]].astype(np.int32)), docs
+                yield TOKENS, b, names[order[lo:hi]].tobytes(), _blob(seen[lo:hi].astype(np.int32), per[lo:hi].astype(np.int32)), _blob(doc[at[lo] : at[hi]].astype(np.int32), counts[at[lo] : at[hi]].astype(np.int32)), mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, used = Mixer(code, bits), False
@@ -414,14 +426,13 @@ def _bucket(rows: list[tuple]) -> Iterator[tuple]:
     codes, every = pd.factorize(np.concatenate(names))
     c = np.bincount(codes, weights=np.concatenate([p[0] for p in pairs]), minlength=len(every)).astype(np.int64)
     logs, known, at = np.log10(c + 1.0), (c > 0).astype(np.int64), 0
-    for (_, _, docs, table), name, (_, per) in zip(rows, names, pairs):
+    for (_, _, docs, mark), name, (_, per) in zip(rows, names, pairs):
         own = codes[at : at + len(name)]
         at += len(name)
         doc, times = np.frombuffer(zlib.decompress(docs), np.int32).reshape(2, -1)
-        n = len(zlib.decompress(table)) // 24
-        of = np.repeat(own, per)
-        yield 0, hash(table), table, np.bincount(doc, weights=times * logs[of], minlength=n).tobytes(), _blob(np.bincount(doc, weights=times * known[of], minlength=n).astype(np.int64))
-    yield 1, 0, np.array([c.sum(), known.sum()], np.int64).tobytes(), b"", b""
+        n, of = _count(mark), np.repeat(own, per)
+        yield SUMS, 0, mark, np.bincount(doc, weights=times * logs[of], minlength=n).tobytes(), _blob(np.bincount(doc, weights=times * known[of], minlength=n).astype(np.int64))
+    yield TOTALS, 0, np.array([c.sum(), known.sum()], np.int64).tobytes(), b"", b""
 
 
 def _chunk(rows: list[tuple]) -> tuple[bytes, bytes]:
@@ -448,7 +459,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.setdefault((kind, part), []).append(tuple(blobs))
     for kind, part in list(held):
         rows = held.pop((kind, part))
-        if kind == TOKENS:
+        if kind == TOKENS and part < 0:
+            out = [(SUMS, 0, row[3], b"", row[2]) for row in rows]
+        elif kind == TOKENS:
             out = list(_bucket(rows))
         elif kind == COUNTS:
             out = [(TABLE, part, *_chunk(rows), b"")]
@@ -465,16 +478,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document of a slice the sums over all buckets."""
     held: dict[bytes, list[np.ndarray]] = {}
+    tables: dict[bytes, bytes] = {}
     for batch in batches:
-        for table, logs, known in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "c"))):
-            own, new = np.frombuffer(logs, np.float64), np.frombuffer(zlib.decompress(known), np.int64)
-            if table in held:
-                held[table][0] += own
-                held[table][1] += new
-            else:
-                held[table] = [own.copy(), new.copy()]
-    for table, (logs, known) in held.items():
-        ids, keys, n = np.frombuffer(zlib.decompress(table), np.int64).reshape(3, -1)
+        for mark, logs, other in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "c"))):
+            if not logs and _count(mark):
+                tables[mark] = other
+                continue
+            if mark not in held:
+                held[mark] = [np.zeros(_count(mark)), np.zeros(_count(mark), np.int64)]
+            held[mark][0] += np.frombuffer(logs, np.float64)
+            held[mark][1] += np.frombuffer(zlib.decompress(other), np.int64)
+    for mark, (logs, known) in held.items():
+        ids, keys, n = np.frombuffer(zlib.decompress(tables[mark]), np.int64).reshape(3, -1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(n), pa.array(known), pa.array(logs)], ["id", "key", "n_tokens", "n_known", "logs"])
 
 
@@ -494,7 +509,8 @@ def _spell(model, buckets: int):
         spelled = cost[heads]
         spelled[:words] += cost[bodies]
         table = _blob(ids, keys, sizes)
-        yield -1, b"", b"", np.bincount(head_row, weights=spelled, minlength=n).tobytes(), table
+        mark = _mark(table, n)
+        yield -1, mark, table, np.bincount(head_row, weights=spelled, minlength=n).tobytes(), b""
         row, context, phrase, begin, upto, to_end = group.phrases()
         sums = np.concatenate(([0], np.cumsum(spelled[:words])))
         gain = sums[upto] - sums[begin] + np.where(to_end, spelled[words + row], 0)
@@ -512,7 +528,7 @@ def _spell(model, buckets: int):
             lo, hi = edges[b], edges[b + 1]
             if lo < hi:
                 part = slice(at[lo], at[hi])
-                yield b, context[heads[lo:hi]].tobytes(), phrase[heads[lo:hi]].tobytes(), _blob(times[lo:hi].astype(np.int32), per[lo:hi].astype(np.int32), (row[part] * 2 + train[row[part]]).astype(np.int32), gain[part].astype(np.float32)), table
+                yield b, context[heads[lo:hi]].tobytes(), phrase[heads[lo:hi]].tobytes(), _blob(times[lo:hi].astype(np.int32), per[lo:hi].astype(np.int32), (row[part] * 2 + train[row[part]]).astype(np.int32), gain[part].astype(np.float32)), mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = model.value
@@ -546,7 +562,7 @@ def _decide(rows: list[tuple]) -> Iterator[tuple[bytes, np.ndarray]]:
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     at = 0
-    for (_, _, _, table), (blob, n) in zip(rows, data):
+    for (_, _, _, mark), (blob, n) in zip(rows, data):
         per = np.frombuffer(blob, np.int32, n, 4 * n)
         size = int(per.sum())
         doc, gain = np.frombuffer(blob, np.int32, size, 8 * n), np.frombuffer(blob, np.float32, size, 8 * n + 4 * size).astype(np.float64)
@@ -557,30 +573,34 @@ def _decide(rows: list[tuple]) -> Iterator[tuple[bytes, np.ndarray]]:
         total, hits = every[here] - own, most[here] - own * came
         p = (hits + 0.4) / (total + 1.2)
         change = np.where(total > 0, np.where(came, np.log10(p) - gain, np.log10(1 - p)), 0.0)
-        yield table, np.bincount(doc >> 1, weights=change, minlength=len(zlib.decompress(table)) // 24)
+        yield mark, np.bincount(doc >> 1, weights=change, minlength=_count(mark))
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[tuple]] = {}
+    named = ["mark", "sums", "table"]
     for batch in batches:
         for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d"))):
             if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([blobs[3]], pa.binary()), pa.array([blobs[2]], pa.binary())], ["d", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([blobs[k]], pa.binary()) for k in (0, 2, 1)], named)
             else:
                 held.setdefault(bucket, []).append(tuple(blobs))
     for bucket in list(held):
-        for table, change in _decide(held.pop(bucket)):
-            yield pa.RecordBatch.from_arrays([pa.array([table], pa.binary()), pa.array([change.tobytes()], pa.binary())], ["d", "sums"])
+        for mark, change in _decide(held.pop(bucket)):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (mark, change.tobytes(), None)], named)
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[bytes, np.ndarray] = {}
+    tables: dict[bytes, bytes] = {}
     for batch in batches:
-        for table, sums in zip(batch.column("d").to_pylist(), batch.column("sums").to_pylist()):
+        for mark, sums, table in zip(*(batch.column(c).to_pylist() for c in ("mark", "sums", "table"))):
             own = np.frombuffer(sums, np.float64)
-            held[table] = held[table] + own if table in held else own
-    for table, total in held.items():
-        ids, keys, sizes = np.frombuffer(zlib.decompress(table), np.int64).reshape(3, -1)
+            held[mark] = held[mark] + own if mark in held else own
+            if table is not None:
+                tables[mark] = table
+    for mark, total in held.items():
+        ids, keys, sizes = np.frombuffer(zlib.decompress(tables[mark]), np.int64).reshape(3, -1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(sizes), pa.array(total)], ["own", "key", "n_bytes", "score"])
 
 
@@ -596,7 +616,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     code, bits = Code(counts), int(np.clip(np.ceil(np.log2(total + 1)) - 4, MIN_BITS, max_bits))
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 24_000_000)
-    buckets = 2 * tasks
+    buckets = tasks
     learned = rows.mapInArrow(tidy(_map_learn(code, bits, buckets)), _LEARNED)
     merged = stored(learned.repartition(tasks, "kind", "part").mapInArrow(tidy(_merge), _MERGED), "mixing")
     mixer = Mixer(code, bits)
@@ -615,8 +635,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
             mixer.map = np.frombuffer(a, np.float64).copy()
     mixer.freeze(zeros.reshape(_K, -1), ones.reshape(_K, -1))
     spelled = rows.mapInArrow(tidy(_spell(spark.sparkContext.broadcast(mixer), buckets)), _SPELLED)
-    settled = spelled.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("d")).otherwise(F.col("bucket"))).mapInArrow(tidy(_settle), "d binary, sums binary")
-    scored = settled.repartition(tasks, "d").mapInArrow(tidy(_total), "own long, key long, n_bytes long, score double")
+    settled = spelled.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(tidy(_settle), "mark binary, sums binary, table binary")
+    scored = settled.repartition(tasks, "mark").mapInArrow(tidy(_total), "own long, key long, n_bytes long, score double")
     sums = merged.filter(F.col("kind") == SUMS).select("a", "b", "c").repartition(tasks, "a").mapInArrow(tidy(_sum_up), "id long, key long, n_tokens long, n_known long, logs double")
     sums = sums.groupBy("id", "key").agg(*(F.first(c).alias(c) for c in ("n_tokens", "n_known", "logs")))
     each = float(np.log10(train_tokens + vocabulary + 1))
