@@ -397,7 +397,7 @@ def _meet_contents(length: int):
 # --- step 3: documents lose their spans -----------------------------------------------------------------------------
 
 
-def _cut(texts: bool):
+def _cut(texts: bool, kept_columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, flat, offsets in slices(batch):
@@ -424,33 +424,38 @@ def _cut(texts: bool):
                 ]
                 if texts:
                     whole = data.tobytes()
-                    columns.append(pa.array([whole[x:y].decode("utf-8", "ignore") if cut else None for x, y, cut in zip(kept[:-1], kept[1:], np.diff(removed))], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "span_begins", "span_ends", "kept", "kept_text"][: len(columns)])
+                    columns.append(pa.array([whole[x:y].decode("utf-8", "ignore") for x, y in zip(kept[:-1], kept[1:])], pa.string()))
+                names = ["id", "n_bytes", "n_removed", "span_begins", "span_ends", "kept", "kept_text"][: len(columns)]
+                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in kept_columns)], [*names, *kept_columns])
 
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: its id, ``n_bytes``, ``n_removed``, the maximal removed runs (``span_begins``, ``span_ends``, in bytes) and the bytes kept (``kept``).
 
-    ``texts`` adds ``kept_text``: for documents that lost bytes what is left as text; a character that a cut goes through goes as a whole.
+    ``texts`` adds ``kept_text``: what is left as text; a character that a cut goes through goes as a whole. ``keep`` names further columns to hand on.
     """
     spark = docs.sparkSession
-    rows = clean(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
+    # Both joins read all columns of the dealt documents, so that they share one exchange.
+    kept = {f"__keep{k}": name for k, name in enumerate(keep)}
+    rows = clean(docs, id=id_col, text=text_col, **kept).withColumn("id", F.col("id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     tasks = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
     buckets = 4 * tasks
     known = rows.filter("id IS NOT NULL")
-    runs = known.mapInArrow(tidy(_map_runs(length, gram, buckets)), _PACKED)
+    runs = known.select("id", "text").mapInArrow(tidy(_map_runs(length, gram, buckets)), _PACKED)
     spread = F.when(F.col("bucket") < 0, F.xxhash64("places")).otherwise(F.col("bucket").cast("long"))
     codes = runs.repartition(tasks, spread).mapInArrow(tidy(_meet_runs(hot)), _CODES).groupBy("id").agg(F.flatten(F.collect_list("codes")).alias("codes"))
     dealt = known.repartition(tasks, "id")
-    contents = dealt.join(codes, "id").select("id", "text", "codes").mapInArrow(tidy(_map_contents(length, gram, buckets)), _PIECES)
+    contents = dealt.join(codes, "id").select("id", "text", "codes", *kept).mapInArrow(tidy(_map_contents(length, gram, buckets)), _PIECES)
     spans = contents.repartition(tasks, "bucket").mapInArrow(tidy(_meet_contents(length)), _SPANS)
     spans = spans.groupBy("id").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
     none = F.lit(None).cast("array<int>")
-    every = dealt.join(spans, "id", "left").select("id", "text", "begins", "ends").union(rows.filter("id IS NULL").select("id", "text", none, none))
-    out = every.mapInArrow(tidy(_cut(texts)), "id long, n_bytes long, n_removed long, span_begins array<int>, span_ends array<int>, kept binary" + ", kept_text string" * texts)
+    every = dealt.join(spans, "id", "left").select("id", "text", "begins", "ends", *kept).union(rows.filter("id IS NULL").select("id", "text", none, none, *kept))
+    own = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in kept)
+    schema = "id long, n_bytes long, n_removed long, span_begins array<int>, span_ends array<int>, kept binary" + ", kept_text string" * texts + own
+    out = every.mapInArrow(tidy(_cut(texts, list(kept))), schema).withColumnsRenamed(kept)
     return out.withColumnRenamed("id", id_col)
 
 
