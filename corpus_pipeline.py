@@ -32,12 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings that a smaller document has are cut out; a character that is cut through goes as a whole. Texts of which nothing is left go."""
-    cut = suffix_dedup.dedup(docs, texts=True)
-    rest = cut.select(F.col("doc_id").alias("cut_id"), "n_removed", F.col("kept_text").alias("left"))
-    known = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(rest.filter("n_removed > 0"), F.col("doc_id") == F.col("cut_id"), "left")
-    text = F.when(F.col("n_removed") > 0, F.col("left")).otherwise(F.col("text"))
-    changed = known.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("left").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text)
-    return changed.filter("NOT (n_removed > 0 AND text = '') OR n_removed IS NULL").select(COLUMNS).union(docs.filter("doc_id IS NULL").select(COLUMNS))
+    cut = suffix_dedup.dedup(docs.withColumn("had_text", F.col("text").isNotNull()), texts=True, keep=("lang", "source", "n_chars", "had_text"))
+    text = F.when(F.col("had_text"), F.col("kept_text"))
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.filter("n_removed = 0 OR kept_text <> ''").select("doc_id", text.alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
