@@ -2,20 +2,24 @@
 
 A text is lower-cased (A-Z) and read as its words, each followed by one blank, and an end symbol. Each symbol is a few
 binary decisions along a Huffman code of the training symbols. Every decision is predicted from the counts of zeros and ones under
-several contexts: the last 1, 2, 3 and 5 bytes and the whole word so far, hashed into tables of fixed size. The predictions
+several contexts: the last 1, 2, 3 and 5 bytes and the whole word so far. The predictions
 (log odds) are mixed by weights that a gate picks by how much the longer contexts have been seen; the mix is refined by an
 adaptive probability map. The first two symbols of a word see the end of the word before; later ones only their word, so
-that each distinct beginning and each distinct word of a slice of texts is evaluated once.
+that each distinct beginning and each distinct word of the corpus is evaluated once.
 
-Learning is online: a task reads its training documents in order, block by block. A block's decisions enter the counts; each is
-predicted by the counts without itself, and the weights and the map take a step by the error, every occurrence weighing
-alike. Tasks run side by side; their counts are added, and their weights averaged by what they have seen. The tables grow with the corpus up to ``MAX_BITS`` (2**bits cells for each context),
-which bounds what is gathered at the driver and broadcast: ``len(ORDERS) * 2**MAX_BITS * 4`` bytes.
+The counts are kept for every context of the corpus, without a bound: the distinct beginnings and words of each slice of texts meet
+in hashed buckets, which add up how often each occurs in training documents; the contexts of each bucket's decisions meet in
+hashed buckets again, as 64-bit hashes of context and decision, which add up zeros and ones and return them. What is gathered at the
+driver and broadcast are the weights and the map, whose size does not depend on the corpus.
+
+Learning is online: a task reads its distinct beginnings and words block by block. Each decision is predicted by the counts of the
+whole corpus without one occurrence of its own, and the weights and the map take a step by the error, every occurrence weighing
+alike. Tasks run side by side; their weights are averaged by what they have seen.
 
 A further predictor looks further back: at anchors (about every eighth word, by the hash of three words) it predicts the whole
 phrase up to the next anchor, as training texts went on most often. One decision, with the odds of the counts under that
 context (a training document's own occurrence taken out), tells whether the phrase comes true; if not, its words are coded as above.
-It makes copied passages cheap. These contexts are not hashed into a bounded table but meet in buckets, as the tokens do.
+It makes copied passages cheap. These contexts meet in buckets, as the tokens do.
 
 The unigram base counts every token of all training documents exactly, by 64-bit hashes of the tokens, in buckets: a bucket gets
 each slice's distinct tokens with the documents that hold them, adds up the counts, and returns sums per document.
@@ -31,23 +35,22 @@ import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import LOWER, clean, expand, mix, powers, prefix_hash, slices, span_hash, spans, stored, tidy, training_row
+from plumbline.llm.textkit import LOWER, clean, expand, mix, powers, prefix_hash, slices, span_hash, spans, stored, tidy, training_row, utf8
 
 MODULUS, HELD = 7, 2
 #: Lengths of the contexts in bytes; the last one stands for the whole word.
 ORDERS = (1, 2, 3, 5, 24)
-#: Bits of the smallest and largest table of a context.
-MIN_BITS, MAX_BITS = 14, 20
 #: Bytes of text whose distinct words are evaluated together, and symbols of a training block.
 GROUP_BYTES, BLOCK = 6_000_000, 8_000
-CHUNK = 1 << 12
 #: Mean words between anchors of phrases.
 APART = 8
 #: Size of a weight's first step.
@@ -60,7 +63,6 @@ _LEVEL = np.minimum(np.log2(np.arange(65_536) + 1).astype(np.int64), 6)
 _CELLS = 25  # of the probability map, for each node
 _GATES = 3 * 28
 _K = len(ORDERS)
-_HALF, _LOWER = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 # --- words and symbols -----------------------------------------------------------------------------------------------
@@ -168,32 +170,26 @@ class Units:
         self.n = n + len(starts)
         self.prefix = prefix_hash(self.flat)
 
-    def contexts(self, a: int, b: int) -> np.ndarray:
-        """The hashes of the contexts of the symbols a .. b - 1, one row for each order."""
+    def contexts(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the contexts of the symbols a .. b - 1, one row for each order; and whether a context is longer than that of the order before."""
         at, begin = self.at[a:b], self.begin[self.unit[a:b]]
-        return np.stack([span_hash(self.prefix, np.maximum(at - k, begin), at) for k in ORDERS])
-
-
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, values in order of appearance, where each appears first, and how often."""
-    codes, names = pd.factorize(values)
-    first = np.empty(len(names), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    return codes, names, first, np.bincount(codes, minlength=len(names))
+        starts = np.stack([np.maximum(at - k, begin) for k in ORDERS])
+        longer = np.ones(starts.shape, bool)
+        longer[1:] = starts[1:] < starts[:-1]
+        return np.stack([span_hash(self.prefix, x, at) for x in starts]), longer
 
 
 # --- the model -------------------------------------------------------------------------------------------------------
 
 
 class Mixer:
-    """Count tables, gated weights and the probability map.
+    """Gated weights and the probability map, over counts that ``freeze`` takes.
 
-    A cell holds the ones in its upper and the zeros in its lower 32 bits. ``freeze`` turns the counts into log odds for scoring.
+    Cells are 64-bit hashes of context and node (or their upper ``bits``, where counts are a plain table).
     """
 
-    def __init__(self, code: Code, bits: int):
+    def __init__(self, code: Code, bits: int = 64):
         self.code, self.bits = code, bits
-        self.cells = np.zeros((_K, 1 << bits), np.uint64)
         self.weights = np.full((_K + 1, _GATES), 0.25, np.float32)
         self.weights[-1] = 0
         self.slopes = np.full((_K + 1, _GATES), 1e-4, np.float32)
@@ -201,12 +197,12 @@ class Mixer:
         self.seen = np.zeros(_GATES)
 
     def freeze(self, zeros: np.ndarray, ones: np.ndarray) -> None:
-        self.odds = np.empty((_K, 1 << self.bits), np.float32)
-        for k in range(_K):
-            np.subtract(_LOG[ones[k]], _LOG[zeros[k]], out=self.odds[k])
-        level = lambda k: _LEVEL[np.minimum(zeros[k].astype(np.int64) + ones[k], 65_535)]
+        """Takes the counts and turns them into log odds: a row for each order, or one for all of them."""
+        self.zeros, self.ones = ([x[k % len(x)] for k in range(_K)] for x in (zeros, ones))
+        odds = [_LOG[o] - _LOG[z] for z, o in zip(zeros, ones)]
+        self.odds = [odds[k % len(odds)] for k in range(_K)]
+        level = lambda k: _LEVEL[np.minimum(self.zeros[k].astype(np.int64) + self.ones[k], 65_535)]
         self.level = np.stack([np.minimum(level(_K - 3) // 2, 3), 4 * level(_K - 1)]).astype(np.uint8)
-        self.cells = None
 
     def locate(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """The decisions of some symbols: symbol, node and bit of each, and its cell under each context."""
@@ -215,17 +211,17 @@ class Mixer:
         path = expand(code.start[symbols], size)
         node = code.node[path]
         salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        cells = [((contexts[k][owner] ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64) for k in range(_K)]
+        cells = [(contexts[k][owner] ^ salt) * np.uint64(0xD6E8FEB86659FD93) for k in range(_K)]
+        if self.bits < 64:
+            cells = [(x >> np.uint64(64 - self.bits)).astype(np.int64) for x in cells]
         return owner, node, code.bit[path], cells
 
     def inputs(self, y: np.ndarray, kind: np.ndarray, cells: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """The log odds of the counts under each context, each without what the decision itself has added; and the gates."""
-        x, gate, own = [], 28 * kind, np.where(y, np.uint64(1 << 32), np.uint64(1))
+        x, gate = [], 28 * kind
         for k in range(_K):
-            pair = np.take(self.cells[k], cells[k]) - own
-            one, zero = (pair >> _HALF).view(np.int64), (pair & _LOWER).view(np.int64)
-            np.minimum(one, 65_535, out=one)
-            np.minimum(zero, 65_535, out=zero)
+            one = np.maximum(np.take(self.ones[k], cells[k]).astype(np.int64) - y, 0)
+            zero = np.maximum(np.take(self.zeros[k], cells[k]).astype(np.int64) - ~y, 0)
             x.append(np.take(_LOG, one) - np.take(_LOG, zero))
             if k in (_K - 3, _K - 1):
                 level = np.take(_LEVEL, np.minimum(zero + one, 65_535))
@@ -248,22 +244,50 @@ class Mixer:
         final = np.clip((p + (one + 16 * p) / (zero + one + 16)) / 2, 1e-6, 1 - 1e-6)
         return p, spot, np.log(np.where(y, final, 1 - final))
 
-    def learn(self, units: Units, times: np.ndarray) -> float:
-        """Block by block: count, predict every decision by the counts without itself, and step against the cost.
+    def gather(self, units: Units, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct cells of the units' decisions, in order, and how often a zero and a one came there. ``times``: of each unit."""
+        parts = []
+        for a in range(0, len(units.at), 4 * BLOCK):
+            b = min(a + 4 * BLOCK, len(units.at))
+            contexts, longer = units.contexts(a, b)
+            owner, _, y, cells = self.locate(contexts, units.symbol[a:b])
+            often, new = times[units.unit[a:b]][owner].astype(np.float64), [x[owner] for x in longer]
+            codes, names = pd.factorize(np.concatenate([x[n] for x, n in zip(cells, new)]))
+            parts.append((names, *(np.bincount(codes, np.concatenate([w[n] for n in new]), len(names)) for w in (often * ~y, often * y))))
+        if not parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        names, codes = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        zeros, ones = (np.bincount(codes, np.concatenate([p[k] for p in parts]), len(names)).astype(np.int64) for k in (1, 2))
+        return names, zeros, ones
+
+    def places(self, units: Units) -> pd.Index:
+        """Where the counts of each cell stand among those that ``gather`` found."""
+        parts = []
+        for a in range(0, len(units.at), 4 * BLOCK):
+            b = min(a + 4 * BLOCK, len(units.at))
+            contexts, longer = units.contexts(a, b)
+            owner, _, _, cells = self.locate(contexts, units.symbol[a:b])
+            parts.append(pd.unique(np.concatenate([x[n[owner]] for x, n in zip(cells, longer)])))
+        return pd.Index(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
+
+    def _blocks(self, units: Units, places: pd.Index) -> Iterator[tuple]:
+        for a in range(0, len(units.at), BLOCK):
+            b = min(a + BLOCK, len(units.at))
+            owner, node, y, cells = self.locate(units.contexts(a, b)[0], units.symbol[a:b])
+            yield units.unit[a:b][owner], units.kind[a:b][owner], node, y, places.get_indexer(np.concatenate(cells)).reshape(_K, -1)
+
+    def learn(self, units: Units, times: np.ndarray, places: pd.Index) -> float:
+        """Block by block: predict every decision by the counts without itself, and step against the cost.
 
-        ``times`` says how often each unit occurs; every occurrence weighs alike. Returns the cost in nats.
+        ``times`` says how often each unit occurs in training texts; every occurrence weighs alike. Returns the cost in nats.
         """
         cost = 0.0
-        for a in range(0, len(units.at), BLOCK):
-            b = min(a + BLOCK, len(units.at))
-            owner, node, y, cells = self.locate(units.contexts(a, b), units.symbol[a:b])
-            often = times[units.unit[a:b]][owner]
-            add = often.astype(np.uint64) << np.where(y, _HALF, np.uint64(0))
-            for k in range(_K):
-                np.add.at(self.cells[k], cells[k], add)
-            x, gate = self.inputs(y, units.kind[a:b][owner], cells)
+        for unit, kind, node, y, cells in self._blocks(units, places):
+            often = times[unit].astype(np.float64)
+            used = often > 0
+            often, kind, node, y, cells = often[used], kind[used], node[used], y[used], cells[:, used]
+            x, gate = self.inputs(y, kind, cells)
             p, spot, log = self.predict(node, y, x, gate)
-            often = often.astype(np.float64)
             cost -= float((log * often).sum())
             error = (y - p) * often
             n = np.bincount(gate, often, _GATES)
@@ -275,19 +299,38 @@ class Mixer:
             self.map += np.bincount(spot + y, often, len(self.map))
         return cost
 
-    def costs(self, units: Units) -> np.ndarray:
+    def costs(self, units: Units, places: pd.Index) -> np.ndarray:
         """log10 probability of each unit."""
         out = np.zeros(units.n)
-        for a in range(0, len(units.at), BLOCK):
-            b = min(a + BLOCK, len(units.at))
-            owner, node, y, cells = self.locate(units.contexts(a, b), units.symbol[a:b])
-            log = self.predict(node, y, *self.frozen_inputs(units.kind[a:b][owner], cells))[-1]
-            low = int(units.unit[a])
-            part = np.bincount(units.unit[a:b][owner] - low, weights=log)
+        for unit, kind, node, y, cells in self._blocks(units, places):
+            log = self.predict(node, y, *self.frozen_inputs(kind, cells))[-1]
+            low = int(unit[0])
+            part = np.bincount(unit - low, weights=log)
             out[low : low + len(part)] += part
         return out / np.log(10)
 
 
+class Parts(NamedTuple):
+    """What the words of a group consist of: see ``Group.units``. Heads of words come before those of ends."""
+
+    head_row: np.ndarray
+    head_codes: np.ndarray
+    body_codes: np.ndarray
+    heads: np.ndarray
+    head_edges: np.ndarray
+    head_times: np.ndarray
+    tokens: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    body_edges: np.ndarray
+    body_times: np.ndarray
+
+
+def edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins and ends among hashes in order: buckets are equal ranges of their upper halves."""
+    return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
+
+
 class Group:
     """The words of several slices, gathered until their distinct ones are worth evaluating together."""
 
@@ -303,23 +346,41 @@ class Group:
         self.rows.append(rows)
         self.bytes += len(flat)
 
-    def units(self, keep: np.ndarray | None = None) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct units; head and body of each word (and heads of ends); and how often each unit occurs. ``keep``: of the rows."""
+    def units(self, buckets: int) -> Parts:
+        """The distinct heads and bodies in the order of their buckets, and how often each occurs in training rows."""
         begins = np.cumsum([0, *(len(r) for r in self.rows)])
         shift = np.cumsum([0, *(len(w.flat) for w in self.words)])
         row = np.concatenate([w.row + b for w, b in zip(self.words, begins)])
         head, token = np.concatenate([w.head for w in self.words]), np.concatenate([w.token for w in self.words])
         starts, ends = (np.concatenate([getattr(w, x) + s for w, s in zip(self.words, shift)]) for x in ("starts", "ends"))
-        end_head, end_row = np.concatenate([w.end_head for w in self.words]), np.arange(begins[-1])
-        if keep is not None:
-            word = keep[row]
-            row, head, token, starts, ends = row[word], head[word], token[word], starts[word], ends[word]
-            end_head, end_row = end_head[keep], end_row[keep]
-        heads, names, _, head_times = distinct(np.concatenate((head, end_head)))
-        bodies, _, first, body_times = distinct(token)
-        units = Units(names, np.concatenate([w.flat for w in self.words]), starts[first], ends[first])
-        return units, np.concatenate((row, end_row)), heads, row, bodies + len(names), np.concatenate((head_times, body_times))
+        head_row = np.concatenate((row, np.arange(begins[-1])))
+        train = self.column("train").astype(bool)
+        heads, head_codes = np.unique(mix(np.concatenate((head, *(w.end_head for w in self.words))).astype(np.uint64)), return_inverse=True)
+        names = np.empty(len(heads), np.int64)
+        names[head_codes] = np.concatenate((head, *(w.end_head for w in self.words)))
+        bodies, first, body_codes = np.unique(token, return_index=True, return_inverse=True)
+        return Parts(
+            head_row, head_codes, body_codes, names, edges(heads, buckets), np.bincount(head_codes, train[head_row], len(heads)).astype(np.int64),
+            bodies, starts[first], ends[first], edges(bodies, buckets), np.bincount(body_codes, train[row], len(bodies)).astype(np.int64),
+        )
 
+    def column(self, name: str) -> np.ndarray:
+        return np.concatenate([r.column(name).to_numpy(zero_copy_only=False) for r in self.rows])
+
+    def packed(self) -> bytes:
+        """The rows with their texts, as they are read again by ``unpacked``."""
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for rows in self.rows:
+                out.write_batch(rows)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Group:
+        group = cls()
+        for rows in pa.ipc.open_stream(data):
+            group.add(rows, *utf8(rows.column("text")))
+        return group
 
     def phrases(self) -> tuple[np.ndarray, ...]:
         """Row, context, phrase, first word, one past the last word, whether it runs past the end; words counted over the group."""
@@ -346,7 +407,7 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int = GROUP_BYTES) -> Itera
 # --- learning: tokens to buckets, model to chunks ---------------------------------------------------------------------
 
 _LEARNED = "kind int, part long, a binary, b binary, c binary, d binary"
-TOKENS, COUNTS, WEIGHTS, MAP = 0, 1, 2, 3
+TOKENS, UNITS, TEXTS = 0, 1, 2
 
 
 def _mark(table: bytes, n: int) -> bytes:
@@ -362,8 +423,8 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-def _map_learn(code: Code, bits: int, buckets: int):
-    def tokens(group: Group) -> Iterator[tuple]:
+def _map_learn(buckets: int):
+    def tokens(group: Group, name: bytes) -> Iterator[tuple]:
         """Per bucket: distinct tokens, training occurrences, and for each token its documents with frequencies."""
         ids = np.concatenate([r.column("id").fill_null(NO_ID).to_numpy() for r in group.rows])
         keys = np.concatenate([r.column("key").to_numpy() for r in group.rows])
@@ -380,36 +441,31 @@ def _map_learn(code: Code, bits: int, buckets: int):
         of, doc = pair // len(ids), pair % len(ids)
         seen = np.bincount(of, weights=counts * train[doc], minlength=len(names)).astype(np.int64)
         per = np.bincount(of, minlength=len(names))
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
         at = np.concatenate(([0], np.cumsum(per)))
         table = _blob(ids, keys, np.bincount(row, minlength=len(ids)))
-        mark = _mark(table, len(ids))
+        mark = _mark(table + name, len(ids))
         yield TOKENS, -1 - int.from_bytes(mark[:4], "little") % buckets, b"", b"", table, mark
         for b in range(buckets):
-            lo, hi = edges[b], edges[b + 1]
+            lo, hi = cut[b], cut[b + 1]
             if lo < hi:
                 yield TOKENS, b, names[order[lo:hi]].tobytes(), _blob(seen[lo:hi].astype(np.int32), per[lo:hi].astype(np.int32)), _blob(doc[at[lo] : at[hi]].astype(np.int32), counts[at[lo] : at[hi]].astype(np.int32)), mark
 
+        yield TEXTS, int.from_bytes(mark[:4], "little") % buckets, group.packed(), b"", b"", mark
+        flat, own = np.concatenate([w.flat for w in group.words]), group.units(buckets)
+        for b in range(buckets):
+            heads, bodies = (slice(x[b], x[b + 1]) for x in (own.head_edges, own.body_edges))
+            starts, sizes = own.starts[bodies], (own.ends - own.starts)[bodies]
+            if heads.start < heads.stop or bodies.start < bodies.stop:
+                spelled = zlib.compress(flat[expand(starts, sizes)].tobytes(), 1)
+                yield UNITS, b, _blob(own.heads[heads], own.head_times[heads]), own.tokens[bodies].tobytes(), _blob(own.body_times[bodies], sizes) + spelled, mark + len(spelled).to_bytes(8, "little")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, used = Mixer(code, bits), False
-        for group in _groups(batches):
-            rows = list(tokens(group))
+        context = TaskContext.get()
+        for k, group in enumerate(_groups(batches)):
+            rows = list(tokens(group, f"{context.partitionId() if context else 0} {k}".encode()))
             for a in range(0, len(rows), 16):
                 yield _learned(rows[a : a + 16])
-            train = np.concatenate([r.column("train").to_numpy(zero_copy_only=False) for r in group.rows]).astype(bool)
-            if train.any():
-                units, _, _, _, _, times = group.units(train)
-                mixer.learn(units, times)
-                used = True
-        if used:
-            cells = mixer.cells.ravel()
-            at = np.flatnonzero(cells)
-            edges = np.searchsorted(at, np.arange(0, len(cells) + CHUNK, CHUNK))
-            rows = [(COUNTS, c, _blob((at[a:b] % CHUNK).astype(np.uint16), (cells[at[a:b]] & _LOWER).astype(np.uint32), (cells[at[a:b]] >> _HALF).astype(np.uint32)), b"", b"", b"") for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
-            rows.append((WEIGHTS, 0, (mixer.weights.astype(np.float64) * mixer.seen).tobytes(), mixer.seen.tobytes(), b"", b""))
-            rows.append((MAP, 0, mixer.map.tobytes(), b"", b"", b""))
-            for a in range(0, len(rows), 256):
-                yield _learned(rows[a : a + 256])
 
     return run
 
@@ -435,21 +491,39 @@ def _bucket(rows: list[tuple]) -> Iterator[tuple]:
     yield TOTALS, 0, np.array([c.sum(), known.sum()], np.int64).tobytes(), b"", b""
 
 
-def _chunk(rows: list[tuple]) -> tuple[bytes, bytes]:
-    zeros, ones = np.zeros(CHUNK, np.int64), np.zeros(CHUNK, np.int64)
-    for row in rows:
-        data = zlib.decompress(row[0])
-        n = len(data) // 10
-        at = np.frombuffer(data, np.uint16, n)
-        zeros[at] += np.frombuffer(data, np.uint32, n, 2 * n)
-        ones[at] += np.frombuffer(data, np.uint32, n, 6 * n)
-    too = np.maximum(zeros, ones)  # both counts go into 16 bits; large ones keep their ratio
-    scale = np.maximum(1, too / 65_535)
-    return (zeros / scale).astype(np.uint16).tobytes(), (ones / scale).astype(np.uint16).tobytes()
+def _unite(part: int, rows: list[tuple]) -> Iterator[tuple]:
+    """A bucket's distinct heads and bodies with how often they occur, and which of them each slice has."""
+    heads, times, tokens, own_times, sizes, spelled = [], [], [], [], [], []
+    for a, b, c, d in rows:
+        own = np.frombuffer(zlib.decompress(a), np.int64).reshape(2, -1)
+        n = int.from_bytes(d[20:], "little")
+        body = np.frombuffer(zlib.decompress(c[: len(c) - n]), np.int64).reshape(2, -1)
+        for held, x in zip((heads, times, tokens, own_times, sizes, spelled), (own[0], own[1], np.frombuffer(b, np.uint64), body[0], body[1], np.frombuffer(zlib.decompress(c[len(c) - n :]), np.uint8))):
+            held.append(x)
+    codes, names = pd.factorize(np.concatenate(heads))
+    head_times = np.bincount(codes, np.concatenate(times), len(names)).astype(np.int64)
+    body_codes, kinds = pd.factorize(np.concatenate(tokens))
+    body_times = np.bincount(body_codes, np.concatenate(own_times), len(kinds)).astype(np.int64)
+    size, first = np.concatenate(sizes), np.empty(len(kinds), np.int64)
+    first[body_codes[::-1]] = np.arange(len(body_codes))[::-1]
+    text = np.concatenate(spelled)[expand((np.cumsum(size) - size)[first], size[first])]
+    yield UNIQUE, part, _blob(names, head_times), _blob(size[first], body_times), zlib.compress(text.tobytes(), 1)
+    at = below = 0
+    for (_, _, _, d), x, y in zip(rows, heads, tokens):
+        yield LINKS, part, d[:20], _blob(codes[at : at + len(x)].astype(np.int32)), _blob(body_codes[below : below + len(y)].astype(np.int32))
+        at, below = at + len(x), below + len(y)
+
+
+def _units(a: bytes, b: bytes, c: bytes) -> tuple[Units, np.ndarray, int]:
+    """A bucket's units, how often each occurs in training texts, and the number of heads."""
+    heads, head_times = np.frombuffer(zlib.decompress(a), np.int64).reshape(2, -1)
+    sizes, body_times = np.frombuffer(zlib.decompress(b), np.int64).reshape(2, -1)
+    ends = np.cumsum(sizes)
+    return Units(heads, np.frombuffer(zlib.decompress(c), np.uint8), ends - sizes, ends), np.concatenate((head_times, body_times)), len(heads)
 
 
 _MERGED = "kind int, part long, a binary, b binary, c binary"
-SUMS, TOTALS, TABLE = 0, 1, 2
+SUMS, TOTALS, UNIQUE, LINKS, TEXT = 0, 1, 2, 3, 4
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,14 +536,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kind == TOKENS and part < 0:
             out = [(SUMS, 0, row[3], b"", row[2]) for row in rows]
         elif kind == TOKENS:
-            out = list(_bucket(rows))
-        elif kind == COUNTS:
-            out = [(TABLE, part, *_chunk(rows), b"")]
-        elif kind == WEIGHTS:
-            seen = sum(np.frombuffer(r[1], np.float64) for r in rows)
-            out = [(3, 0, sum(np.frombuffer(r[0], np.float64) for r in rows).tobytes(), seen.tobytes(), b"")]
+            out = _bucket(rows)
+        elif kind == UNITS:
+            out = _unite(part, rows)
         else:
-            out = [(4, 0, sum(np.frombuffer(r[0], np.float64) for r in rows).tobytes(), b"", b"")]
+            out = [(TEXT, part, row[3], row[0], b"") for row in rows]
+        out = list(out)
         for a in range(0, len(out), 64):
             kinds, parts, *blobs = zip(*out[a : a + 64])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["kind", "part", "a", "b", "c"])
@@ -493,24 +565,132 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(n), pa.array(known), pa.array(logs)], ["id", "key", "n_tokens", "n_known", "logs"])
 
 
+# --- counts of contexts: out to buckets, back to the units, and into weights ----------------------------------------------
+
+_COUNTED = "part long, source long, a binary, b binary, c binary"
+ODDS, WEIGHTS, MAP = 0, 1, 2
+
+
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    part, source, *blobs = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(source, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", "source", "a", "b", "c"])
+
+
+def _send(code: Code, buckets: int):
+    """For each bucket of cells: those of a bucket of units, with their zeros and ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = Mixer(code)
+        for batch in batches:
+            for source, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "c"))):
+                units, times, _ = _units(*blobs)
+                cells, zeros, ones = mixer.gather(units, times)
+                cut = edges(cells, buckets)
+                for q in range(buckets):
+                    lo, hi = cut[q], cut[q + 1]
+                    if lo < hi:
+                        yield _counted([(q, source, cells[lo:hi].tobytes(), _blob(zeros[lo:hi], ones[lo:hi]), b"")])
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the counts of a bucket's cells, and returns them to the buckets of units that asked."""
+    held: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "source", "a", "b"))):
+            held.setdefault(part, []).append(tuple(row))
+    for part in list(held):
+        rows = held.pop(part)
+        codes, names = pd.factorize(np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows]))
+        pairs = [np.frombuffer(zlib.decompress(r[2]), np.int64).reshape(2, -1) for r in rows]
+        zeros, ones = (np.bincount(codes, np.concatenate([p[k] for p in pairs]), len(names)) for k in (0, 1))
+        scale = np.maximum(1, np.maximum(zeros, ones) / 65_535)  # both counts go into 16 bits; large ones keep their ratio
+        zeros, ones = ((x / scale).astype(np.uint16) for x in (zeros, ones))
+        at = 0
+        for source, cells, _ in rows:
+            own = codes[at : at + len(cells) // 8]
+            at += len(own)
+            yield _counted([(source, part, _blob(zeros[own]), _blob(ones[own]), b"")])
+
+
+def _fit(code: Code):
+    """Weights and map of a task, and each bucket of units with the counts of its cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, held, units_of = Mixer(code), {}, {}
+        for batch in batches:
+            for part, source, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "source", "a", "b", "c"))):
+                if source < 0:
+                    units_of[part] = blobs
+                else:
+                    held.setdefault(part, {})[source] = blobs
+        for part in list(units_of):
+            units, times, _ = _units(*(blobs := units_of.pop(part)))
+            counts = [x for _, x in sorted(held.pop(part, {}).items())]
+            zeros, ones = (b"".join(zlib.decompress(x[k]) for x in counts) for k in (0, 1))
+            if times.any():
+                mixer.freeze(*(np.frombuffer(x, np.uint16)[None] for x in (zeros, ones)))
+                mixer.learn(units, times, mixer.places(units))
+            yield _learned([(ODDS, part, *blobs, zlib.compress(zeros + ones, 1))])
+        if mixer.seen.any():
+            yield _learned([(WEIGHTS, 0, (mixer.weights.astype(np.float64) * mixer.seen).tobytes(), mixer.seen.tobytes(), b"", b""), (MAP, 0, mixer.map.tobytes(), b"", b"", b"")])
+
+    return run
+
+
+def _sum_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for kind, *blobs in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b"))):
+            own = [np.frombuffer(x, np.float64) for x in blobs]
+            held[kind] = [x + y for x, y in zip(held[kind], own)] if kind in held else own
+    for kind, (a, b) in held.items():
+        yield _learned([(kind, 0, a.tobytes(), b.tobytes(), b"", b"")])
+
+
+_PRICED = "mark binary, part long, a binary, b binary"
+
+
+def _price(model):
+    """The costs of each slice's units in a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, held, links = model.value, {}, {}
+        for batch in batches:
+            for part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "c", "d"))):
+                if blobs[3] is None:
+                    links.setdefault(part, []).append(blobs[:3])
+                else:
+                    held[part] = blobs
+        for part in list(held):
+            *blobs, counts = held.pop(part)
+            units, _, n = _units(*blobs)
+            mixer.freeze(*(x[None] for x in np.frombuffer(zlib.decompress(counts), np.uint16).reshape(2, -1)))
+            cost = mixer.costs(units, mixer.places(units)).astype(np.float32)
+            for mark, heads, bodies in links.pop(part, []):
+                a, b = (np.frombuffer(zlib.decompress(x), np.int32) for x in (heads, bodies))
+                yield pa.RecordBatch.from_arrays([pa.array([mark], pa.binary()), pa.array([part]), pa.array([cost[a].tobytes()], pa.binary()), pa.array([cost[n + b].tobytes()], pa.binary())], ["mark", "part", "a", "b"])
+
+    return run
+
+
 _SPELLED = "bucket long, a binary, b binary, c binary, d binary"
 
 
-def _spell(model, buckets: int):
+def _spell(buckets: int):
     """The cost of each document's words (bucket -1), and per bucket contexts, phrases, and the documents that hold them with the phrase's cost."""
 
-    def rows_of(group: Group, mixer: Mixer) -> Iterator[tuple]:
-        units, head_row, heads, _, bodies, _ = group.units()
-        cost = mixer.costs(units)
+    def rows_of(mark: bytes, group: Group, costs: list[tuple[bytes, bytes]]) -> Iterator[tuple]:
+        own = group.units(buckets)
+        head_cost, body_cost = (np.frombuffer(b"".join(x[k] for x in costs), np.float32).astype(np.float64) for k in (0, 1))
         ids = np.concatenate([r.column("id").fill_null(NO_ID).to_numpy() for r in group.rows])
-        keys, sizes = (np.concatenate([r.column(c).to_numpy() for r in group.rows]) for c in ("key", "n_bytes"))
-        train = np.concatenate([r.column("train").to_numpy(zero_copy_only=False) for r in group.rows]).astype(bool)
-        n, words = len(ids), len(bodies)
-        spelled = cost[heads]
-        spelled[:words] += cost[bodies]
-        table = _blob(ids, keys, sizes)
-        mark = _mark(table, n)
-        yield -1, mark, table, np.bincount(head_row, weights=spelled, minlength=n).tobytes(), b""
+        keys, sizes = group.column("key"), group.column("n_bytes")
+        train = group.column("train").astype(bool)
+        n, words = len(ids), len(own.body_codes)
+        spelled = head_cost[own.head_codes]
+        spelled[:words] += body_cost[own.body_codes]
+        yield -1, mark, _blob(ids, keys, sizes), np.bincount(own.head_row, weights=spelled, minlength=n).tobytes(), b""
         row, context, phrase, begin, upto, to_end = group.phrases()
         sums = np.concatenate(([0], np.cumsum(spelled[:words])))
         gain = sums[upto] - sums[begin] + np.where(to_end, spelled[words + row], 0)
@@ -522,18 +702,24 @@ def _spell(model, buckets: int):
         heads = np.flatnonzero(new)
         per = np.diff(np.append(heads, len(row)))
         times = np.bincount(np.cumsum(new) - 1, weights=train[row], minlength=len(heads)) if len(row) else per
-        edges = np.searchsorted(bucket[heads], np.arange(buckets + 1).astype(np.uint64))
+        cut = np.searchsorted(bucket[heads], np.arange(buckets + 1).astype(np.uint64))
         at = np.append(heads, len(row))
         for b in range(buckets):
-            lo, hi = edges[b], edges[b + 1]
+            lo, hi = cut[b], cut[b + 1]
             if lo < hi:
                 part = slice(at[lo], at[hi])
                 yield b, context[heads[lo:hi]].tobytes(), phrase[heads[lo:hi]].tobytes(), _blob(times[lo:hi].astype(np.int32), per[lo:hi].astype(np.int32), (row[part] * 2 + train[row[part]]).astype(np.int32), gain[part].astype(np.float32)), mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = model.value
-        for group in _groups(batches):
-            rows = list(rows_of(group, mixer))
+        texts, costs = {}, {}
+        for batch in batches:
+            for mark, part, a, b in zip(*(batch.column(c).to_pylist() for c in ("mark", "part", "a", "b"))):
+                if part < 0:
+                    texts[mark] = a
+                else:
+                    costs.setdefault(mark, {})[part] = (a, b)
+        for mark in list(texts):
+            rows = list(rows_of(mark, Group.unpacked(texts.pop(mark)), [x for _, x in sorted(costs.pop(mark).items())]))
             for a in range(0, len(rows), 16):
                 bucket, *blobs = zip(*rows[a : a + 16])
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["bucket", "a", "b", "c", "d"])
@@ -604,7 +790,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(sizes), pa.array(total)], ["own", "key", "n_bytes", "score"])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS, held: int = HELD, max_bits: int = MAX_BITS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS, held: int = HELD) -> DataFrame:
     """Per document: its id, ``train`` (learned from), ``n_bytes``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10) and ``bits_per_byte``."""
     spark = docs.sparkSession
     rows = clean(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -613,28 +799,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     for symbol, n in rows.filter("train").select("text").mapInArrow(tidy(symbol_counts), "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect():  # 257 rows
         counts[symbol] = n
     total = int(counts.sum())
-    code, bits = Code(counts), int(np.clip(np.ceil(np.log2(total + 1)) - 4, MIN_BITS, max_bits))
+    code = Code(counts)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 24_000_000)
     buckets = tasks
-    learned = rows.mapInArrow(tidy(_map_learn(code, bits, buckets)), _LEARNED)
+    learned = rows.mapInArrow(tidy(_map_learn(buckets)), _LEARNED)
     merged = stored(learned.repartition(tasks, "kind", "part").mapInArrow(tidy(_merge), _MERGED), "mixing")
-    mixer = Mixer(code, bits)
-    zeros, ones = np.zeros(_K << bits, np.uint16), np.zeros(_K << bits, np.uint16)
+    of = lambda kind: merged.filter(F.col("kind") == kind)
     train_tokens = vocabulary = 0
-    for kind, part, a, b in merged.filter(F.col("kind") > 0).select("kind", "part", "a", "b").toLocalIterator():  # bounded by the table's size
-        if kind == TOTALS:
-            n, v = np.frombuffer(a, np.int64)
-            train_tokens, vocabulary = train_tokens + int(n), vocabulary + int(v)
-        elif kind == TABLE:
-            zeros[part * CHUNK : (part + 1) * CHUNK], ones[part * CHUNK : (part + 1) * CHUNK] = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-        elif kind == 3:
+    for (a,) in of(TOTALS).select("a").toLocalIterator():  # one row for each bucket
+        n, v = np.frombuffer(a, np.int64)
+        train_tokens, vocabulary = train_tokens + int(n), vocabulary + int(v)
+    unique = of(UNIQUE).select("part", F.lit(-1).cast("long").alias("source"), "a", "b", "c")
+    counted = unique.mapInArrow(tidy(_send(code, buckets)), _COUNTED).repartition(tasks, "part").mapInArrow(tidy(_add_up), _COUNTED)
+    fitted = stored(counted.union(unique).repartition(tasks, "part").mapInArrow(tidy(_fit(code)), _LEARNED), "mixing_fit")
+    mixer = Mixer(code)
+    for kind, a, b in fitted.filter(F.col("kind") > ODDS).repartition(2, "kind").mapInArrow(tidy(_sum_fits), _LEARNED).select("kind", "a", "b").collect():  # 2 rows
+        if kind == WEIGHTS:
             seen = np.frombuffer(b, np.float64)
             mixer.weights = np.where(seen > 0, np.frombuffer(a, np.float64).reshape(-1, _GATES) / np.maximum(seen, 1), mixer.weights).astype(np.float32)
         else:
             mixer.map = np.frombuffer(a, np.float64).copy()
-    mixer.freeze(zeros.reshape(_K, -1), ones.reshape(_K, -1))
-    spelled = rows.mapInArrow(tidy(_spell(spark.sparkContext.broadcast(mixer), buckets)), _SPELLED)
+    links = of(LINKS).select("part", "a", "b", "c", F.lit(None).cast("binary").alias("d"))
+    priced = fitted.filter(F.col("kind") == ODDS).select("part", "a", "b", "c", "d").union(links).repartition(tasks, "part").mapInArrow(tidy(_price(spark.sparkContext.broadcast(mixer))), _PRICED)
+    texts = of(TEXT).select(F.col("a").alias("mark"), F.lit(-1).cast("long").alias("part"), F.col("b").alias("a"), F.lit(None).cast("binary").alias("b"))
+    spelled = priced.union(texts).repartition(tasks, "mark").mapInArrow(tidy(_spell(buckets)), _SPELLED)
     settled = spelled.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(tidy(_settle), "mark binary, sums binary, table binary")
     scored = settled.repartition(tasks, "mark").mapInArrow(tidy(_total), "own long, key long, n_bytes long, score double")
     sums = merged.filter(F.col("kind") == SUMS).select("a", "b", "c").repartition(tasks, "a").mapInArrow(tidy(_sum_up), "id long, key long, n_tokens long, n_known long, logs double")

@@ -60,6 +60,38 @@ def test_mixing_learns(spark):
     assert next(r for r in rows if r.doc_id == copy).bits_per_byte < 0.6 * np.mean([r.bits_per_byte for r in fresh])
 
 
+def test_mixing_counts_every_context():
+    """More contexts than a table of 2**20 cells tells apart: each is counted by itself, and found again."""
+    rng = np.random.default_rng(7)
+    flat = rng.integers(97, 123, 12_000 * 12).astype(np.uint8)
+    starts = np.arange(12_000) * 12
+    code = lm_mixing.Code(np.bincount(flat, minlength=257))
+    units = lm_mixing.Units(np.zeros(0, np.int64), flat, starts, starts + 12)
+    times = rng.integers(0, 4, 12_000)
+    expected: dict[tuple[bytes, int], list[int]] = {}
+    for k, n in enumerate(times.tolist()):
+        text = b" " + flat[12 * k : 12 * k + 12].tobytes() + b" "
+        for at in range(3, 14):
+            size, start = code.size[text[at]], code.start[text[at]]
+            for context in {text[max(at - o, 0) : at] for o in lm_mixing.ORDERS}:
+                for node, bit in zip(code.node[start : start + size].tolist(), code.bit[start : start + size].tolist()):
+                    expected.setdefault((context, node), [0, 0])[bit] += n
+    mixer = lm_mixing.Mixer(code)
+    cells, zeros, ones = mixer.gather(units, times)
+    assert len(cells) == len(expected) > 1 << 20
+    assert Counter(zip(zeros.tolist(), ones.tolist())) == Counter(map(tuple, expected.values()))
+    assert (mixer.places(units) == cells).all()
+
+
+def test_mixing_takes_equal_slices_apart(spark):
+    """The same documents once more, in another partition, cost what they cost in their own."""
+    data = [(k, f"some words of text {k} and more") for k in range(20)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    rows = lm_mixing.score(frame.union(frame)).collect()
+    assert len(rows) == 40 and all(r.n_tokens == 8 for r in rows)
+    assert max(abs(x.score - y.score) for x in rows for y in rows if x.doc_id == y.doc_id) < 1e-4
+
+
 def labelled_texts(n: int = 600):
     rng = random.Random(8)
     plain = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(200)]
