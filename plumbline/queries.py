@@ -11,6 +11,7 @@ from plumbline import (
     Frame, all_of, arrange, between, bind_cols, bind_rows, c, collapse, compute, contains, count, desc, ends_with, everything, exclude, full_join, if_else, inner_join, left_join, max_, mean, min_, n, right_join,
     sd, starts_with, sum_, tbl, var,
 )
+from plumbline.frame import position
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,6 +139,26 @@ plain("arrange_by_group", "SELECT n_nationkey, n_name, n_regionkey FROM nation O
 plain("arrange_stable", "SELECT n_nationkey, n_regionkey FROM nation ORDER BY n_regionkey, n_nationkey LIMIT 13", lambda t: arrange(t.nation.select("n_nationkey", "n_regionkey").arrange("n_nationkey"), "n_regionkey").head(13))
 plain("arrange_head", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", lambda t: t.orders.select("o_orderkey", "o_totalprice").arrange(desc("o_totalprice"), "o_orderkey").head(10))
 
+
+
+def placed(frame: Frame) -> Frame:
+    """All rows of a sorted table with their places. The sort is kept, since another run of it may cut its partitions elsewhere."""
+    return tbl(position(compute(frame).df, "place")[0])
+
+
+def whole(name: str, columns: str, table: str, order: str, f: Callable[[Tables], Frame]) -> None:
+    """Whole tables in order: the places show the order, and no row is left out."""
+    plain(name, f"SELECT {columns}, row_number() OVER (ORDER BY {order}) - 1 AS place FROM {table}", lambda t: placed(f(t)))
+
+
+_some = "(SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS x FROM supplier)"
+_some_null = lambda t: t.supplier.mutate(x=if_else(c.s_suppkey % 3 != 0, c.s_acctbal)).select("s_suppkey", "x")
+whole("arrange_mixed_whole", "o_orderkey, o_orderstatus, o_totalprice", "orders", "o_orderstatus, o_totalprice DESC, o_orderkey", lambda t: t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").arrange("o_orderstatus", -c.o_totalprice, "o_orderkey"))
+whole("arrange_nulls_whole", "s_suppkey, x", _some, "x ASC NULLS LAST, s_suppkey", lambda t: _some_null(t).arrange("x", "s_suppkey"))
+whole("arrange_nulls_desc_whole", "s_suppkey, x", _some, "x DESC NULLS FIRST, s_suppkey", lambda t: _some_null(t).arrange(desc("x"), "s_suppkey"))
+whole("arrange_by_group_whole", "n_nationkey, n_name, n_regionkey", "nation", "n_regionkey DESC, n_name", lambda t: t.nation.group_by("n_regionkey").arrange("n_name", desc("n_regionkey"), by_group=True))
+whole("arrange_stable_whole", "n_nationkey, n_regionkey", "nation", "n_regionkey, n_nationkey", lambda t: arrange(t.nation.select("n_nationkey", "n_regionkey").arrange("n_nationkey"), "n_regionkey"))
+
 # --- joins ----------------------------------------------------------------------------------------------------------------
 
 _region = lambda t: t.region.filter(c.r_regionkey > 1)

@@ -36,6 +36,12 @@ def test_query(spark, oracle, name):
     assert normal(df.select(*(f"`{n}`" for n in names)).collect()) == normal(expected.fetchall())
 
 
+@pytest.mark.parametrize("name, table", [("mixed", "orders"), ("nulls", "supplier"), ("nulls_desc", "supplier"), ("by_group", "nation"), ("stable", "nation")])
+def test_sorts_keep_whole_tables(spark, name, table):
+    places = [r.place for r in QUERIES[f"arrange_{name}_whole"](spark, FOLDER).collect()]
+    assert places == list(range(spark.read.parquet(f"{FOLDER}/{table}.parquet").count()))
+
+
 def test_entry(spark):
     import __spark_entry__
 
