@@ -8,10 +8,11 @@ place) and the positional bound (its other words must be item words) drop candid
 by word, exactly.
 
 The benchmark is a stated query set: it is read in blocks of at most ``block_words`` words (so a block's index has
-a known size) and every block meets all documents. A document's hits are united over the blocks.
+a known size) and every block meets all documents. A document's hits are united over the blocks, by id and digest of the text: rows that
+agree in both have equal hits, and are given back as often as they came.
 
 Words are the maximal runs of bytes outside ASCII punctuation, blanks and controls, with A-Z lower-cased. Null and
-empty texts have no words: such items give no window and such documents no hit. Repeated items count each by its id;
+empty texts have no words: such items give no window and such documents no hit. Repeated items count once, by their id;
 an empty table on either side gives no hits. Only the named columns are read, whatever other columns are called.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,11 @@ class WindowIndex:
     """The windows of a block of items, and how to find them in word sequences."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
-        self.items, self.vocabulary = [i for i, _ in items], {}
+        numbers: dict[object, int] = {}
+        owners = [numbers.setdefault(i, len(numbers)) for i, _ in items]  # an item that is listed twice is one item
+        self.items, self.vocabulary = list(numbers), {}
         held: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for k, (_, text) in enumerate(items):
+        for k, (_, text) in zip(owners, items):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 held[tuple(ids[at : at + window])].add(k)
@@ -170,20 +174,21 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     kind, item_kind = rows.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, begins array<int>, ends array<int>, items array<{item_kind}>"
     item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-    parts = []
-    for block in item_blocks(items, block_words) or ():
+    indexes = []
+    for block in item_blocks(items, block_words):
         index = WindowIndex(block, window)
         index.order(_count(spark, rows, spark.sparkContext.broadcast(index)))
-        parts.append(rows.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(index), item_type)), schema))
-    if not parts:
-        parts = [rows.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(_ordered(WindowIndex([], window))), item_type)), schema)]
-    spans = lambda c: F.transform(F.arrays_zip("begins", "ends"), lambda x: F.struct(x["begins"].alias("begin"), x["ends"].alias("end")))
-    if len(parts) == 1:
-        return parts[0].select(F.col("id").alias(id_col), "n_words", spans(None).alias("hit_spans"), "items")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    united = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(spans(None)))).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+        indexes.append(spark.sparkContext.broadcast(index))
+    spans = F.transform(F.arrays_zip("begins", "ends"), lambda x: F.struct(x["begins"].alias("begin"), x["ends"].alias("end")))
+    if len(indexes) < 2:
+        index = indexes[0] if indexes else spark.sparkContext.broadcast(_ordered(WindowIndex([], window)))
+        return rows.mapInArrow(tidy(_finder(index, item_type)), schema).select(F.col("id").alias(id_col), "n_words", spans.alias("hit_spans"), "items")
+    rows, schema = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)), f"{schema}, digest string"
+    every = reduce(DataFrame.union, [rows.mapInArrow(tidy(_finder(index, item_type)), schema) for index in indexes])
+    united = every.groupBy("id", "digest").agg(
+        (F.count("*") / len(indexes)).cast("int").alias("times"), F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_set(spans))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    ).withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
     start = F.lit(None).cast("struct<begin:int,end:int>")
     merged = F.aggregate(
         "spans",
@@ -222,12 +227,14 @@ def _finder(index, item_type: pa.DataType):
                 docs = np.searchsorted(first, starts, "right") - 1
                 pairs = {(d, k) for d, r in set(zip(docs.tolist(), rows.tolist())) for k in own.owners[r].tolist()}
                 pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+                more = [x for x in part.schema.names if x == "digest"]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), pa.array(counts, pa.int64()), lists((begins - first[doc_of]).astype(np.int32), runs), lists((ends - first[doc_of]).astype(np.int32), runs),
                         lists(names.take(pa.array(pairs[:, 1])), np.bincount(pairs[:, 0], minlength=len(counts))),
+                        *(part.column(x) for x in more),
                     ],
-                    ["id", "n_words", "begins", "ends", "items"],
+                    ["id", "n_words", "begins", "ends", "items", *more],
                 )
 
     return run

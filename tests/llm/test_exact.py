@@ -171,6 +171,17 @@ def test_decontamination(spark, docs, texts, none):
     assert all(not r["items"] and not r.hit_spans for r in decontaminate.find(docs, benchmark.filter("false")).collect()) and decontaminate.find(none, benchmark).count() == 0
 
 
+def test_decontamination_in_blocks_keeps_rows_and_counts_items_once(spark, docs, texts):
+    """Null and repeated ids, and an item that is listed twice, whatever the number of blocks."""
+    base = [t for _, t in texts if t and len(t.split()) > 40]
+    items = [(1, " ".join(base[0].split()[3:20])), (3, "b"), (7, base[-1]), (5, "..."), (7, base[-1]), (2, " ".join(base[0].split()[10:19]))]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(61, "another text b"), (None, "b b")], "doc_id long, text string"))
+    want = brute_items([*texts, (61, "another text b"), (None, "b b")], items)
+    for most in (1, 12, 500_000):
+        found = decontaminate.find(rows, spark.createDataFrame(items, "item_id long, text string"), block_words=most).collect()
+        assert Counter((r.doc_id, r.n_words, sum(s.end - s.begin for s in r.hit_spans), tuple(sorted(r["items"]))) for r in found) == want
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
