@@ -2,7 +2,7 @@
 
 from plumbline.errors import EngineError
 from plumbline.frame import Frame
-from plumbline.functions import all_of, between, c, contains, count, desc, ends_with, everything, exclude, if_else, lit, matches, max_, mean, min_, n, sd, starts_with, sum_, var
+from plumbline.functions import all_of, between, c, contains, count, desc, ends_with, everything, exclude, if_else, lit, matches, max_, mean, min_, n, row_number, sd, starts_with, sum_, var
 from plumbline.operators.bind import bind_cols, bind_rows
 from plumbline.operators.columns import mutate, rename, select
 from plumbline.operators.groups import group_by, summarise, ungroup
@@ -25,5 +25,5 @@ for _name, _verb in {
 __all__ = [
     "EngineError", "Frame", "all_of", "arrange", "as_eager", "as_lazy", "as_tbl", "between", "bind_cols", "bind_rows", "c", "collapse", "collect", "compute", "contains", "count", "desc", "ends_with",
     "everything", "exclude", "filter_", "full_join", "group_by", "has_pending_ops", "head", "if_else", "infer_schema", "inner_join", "is_lazy", "is_tbl", "left_join", "lit", "matches", "max_", "mean", "min_",
-    "mutate", "n", "read", "release", "rename", "right_join", "sd", "select", "ship", "show_query", "starts_with", "sum_", "summarise", "summarize", "tbl", "ungroup", "var", "write",
+    "mutate", "n", "read", "release", "rename", "right_join", "row_number", "sd", "select", "ship", "show_query", "starts_with", "sum_", "summarise", "summarize", "tbl", "ungroup", "var", "write",
 ]

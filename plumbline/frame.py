@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.errors import EngineError
 from plumbline.functions.terms import quoted
+from plumbline.sources.shared import stored
 
 MODES = ("eager", "lazy")
 MODE_OPTION, MODE_VARIABLE = "spark.plumbline.mode", "PLUMBLINE_MODE"
@@ -123,17 +124,21 @@ def short_type(kind: str) -> str:
 def position(df: DataFrame, name: str = "__position") -> tuple[DataFrame, int]:
     """The frame with each row's place (0, 1, ..) in partition order, and the number of rows.
 
-    One job counts the rows of each partition; the places then follow from the row's number in its partition, without
-    moving rows or leaving the JVM. The order is that of the files for scans; after a shuffle it is any.
+    The rows are written once with their partition and their number in it, and both the sizes of the partitions and the places
+    come from that table: two runs of a plan may cut its shuffles differently. What is joined to the rows is one row for each
+    partition. The order is that of the files for scans, and the sorted one after ``arrange``; after another shuffle it is any.
     """
-    marked = df.withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    sizes = sorted((p, n) for p, n in marked.groupBy(part.alias("p")).count().collect())  # one row for each partition
+    inner = [f"c{k}" for k in range(len(df.columns))]
+    marked = df.toDF(*inner).withColumn("id", F.monotonically_increasing_id())
+    void = [f.name for f in marked.schema if f.dataType.typeName() == "void"]
+    marked = stored(marked.drop(*void), "positions")
+    sizes = sorted((p, n) for p, n in marked.groupBy(F.shiftright("id", 33)).count().collect())  # one row for each partition
     begins, total = [], 0
     for p, n in sizes:
         begins.append((p, total))
         total += n
-    spark = df.sparkSession
-    offsets = spark.createDataFrame(begins or [(0, 0)], "__part long, __begin long")
-    placed = marked.join(F.broadcast(offsets), part == F.col("__part"))
-    return placed.withColumn(name, F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__begin")).drop("__id", "__part", "__begin"), total
+    offsets = df.sparkSession.createDataFrame(begins or [(0, 0)], "part long, begin long")
+    placed = marked.join(F.broadcast(offsets), F.shiftright("id", 33) == F.col("part"))
+    metadata = {k: f.metadata for k, f in zip(inner, df.schema)}
+    columns = [(F.lit(None) if k in void else F.col(k)).alias(n, metadata=metadata[k]) for k, n in zip(inner, df.columns)]
+    return placed.select(*columns, (F.col("id").bitwiseAND((1 << 33) - 1) + F.col("begin")).alias(name)), total

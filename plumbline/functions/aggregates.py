@@ -1,4 +1,4 @@
-"""Aggregates for ``summarise``. Each takes a column name, a term or a Spark column; conditions count as 0 and 1."""
+"""Aggregates for ``summarise`` and, as values of a row's whole group, for ``mutate``. Each takes a column name, a term or a Spark column; conditions count as 0 and 1."""
 
 from __future__ import annotations
 
@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.errors import EngineError
-from plumbline.functions.terms import Term, quoted
+from plumbline.functions.terms import Later, Term, quoted
 
 
-@dataclass(frozen=True)
-class Aggregate:
+@dataclass(frozen=True, eq=False)
+class Aggregate(Later):
     function: str
     argument: Any = None
 
@@ -66,3 +66,12 @@ def n() -> Aggregate:
 def count(x: Any) -> Aggregate:
     """The number of rows, whether the value is NULL or not (as ``n()``)."""
     return Aggregate("count", x)
+
+
+class RowNumber(Later):
+    """A row's place within its group."""
+
+
+def row_number() -> RowNumber:
+    """1, 2, .. in the order of the rows, within each group."""
+    return RowNumber()

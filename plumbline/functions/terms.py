@@ -127,6 +127,54 @@ class Term:
         raise TypeError("a term has no truth value; combine conditions with &, | and ~")
 
 
+class Later:
+    """A value that needs other rows: an aggregate of the group or a place in it, or arithmetic with such. ``mutate`` evaluates it.
+
+    ``parts`` are the aggregates and places, ``make`` gives the column when their columns are known.
+    """
+
+    @property
+    def parts(self) -> tuple[Later, ...]:
+        return (self,)
+
+    def make(self, columns: list[Column]) -> Column:
+        return columns[0]
+
+
+class _Mixed(Later):
+    def __init__(self, parts: tuple[Later, ...], make):
+        self._parts, self._make = parts, make
+
+    @property
+    def parts(self) -> tuple[Later, ...]:
+        return self._parts
+
+    def make(self, columns: list[Column]) -> Column:
+        return self._make(columns)
+
+
+def _operation(name: str):
+    """The operator of ``Term``, to be carried out when both sides are known."""
+    own = getattr(Term, name)
+
+    def later(self: Later, other: Any) -> Later:
+        right = other if isinstance(other, Later) else None
+        n = len(self.parts)
+        return _Mixed(self.parts + (right.parts if right else ()), lambda columns: own(Term(self.make(columns[:n])), Term(right.make(columns[n:])) if right else other).column)
+
+    def now(self: Term, other: Any) -> Term:
+        return NotImplemented if isinstance(other, Later) else own(self, other)
+
+    now.__doc__ = own.__doc__
+    return later, now
+
+
+for _name in ("add", "radd", "sub", "rsub", "mul", "rmul", "truediv", "rtruediv", "pow", "rpow", "floordiv", "mod", "eq", "ne", "gt", "ge", "lt", "le"):
+    _later, _now = _operation(f"__{_name}__")
+    setattr(Later, f"__{_name}__", _later)
+    setattr(Term, f"__{_name}__", _now)
+
+
 def _floor(x: Column) -> Column:
     """The floor as a double; infinite and NaN values stay (a cast to integers would lose them)."""
     whole = F.abs(x) < F.lit(2.0**53)

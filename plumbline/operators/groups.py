@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-
-
-from plumbline.errors import EngineError
+from plumbline.errors import EngineError, explained
 from plumbline.frame import Frame
 from plumbline.functions.aggregates import Aggregate
 from plumbline.functions.selection import Selection, resolve
@@ -21,6 +19,7 @@ def ungroup(frame: Frame) -> Frame:
     return frame._with(frame.df, (), frame.computed)
 
 
+@explained("summarise")
 def summarise(frame: Frame, *, drop_null_keys: bool = False, **aggregates: Aggregate) -> Frame:
     """One row for each group (or one row), keys first; the result has no groups. A NULL key is a group, unless dropped.
 
@@ -37,5 +36,3 @@ def summarise(frame: Frame, *, drop_null_keys: bool = False, **aggregates: Aggre
             df = df.filter(quoted(g).isNotNull())
     columns = [a.column(df).alias(name) for name, a in aggregates.items()]
     return Frame(df.groupBy(*(quoted(g) for g in frame.groups)).agg(*columns), (), frame.mode)
-
-

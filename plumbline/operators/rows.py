@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.errors import EngineError
+from plumbline.errors import EngineError, explained
 from plumbline.frame import Frame, position
 from plumbline.functions.terms import Term, quoted
 
 
+@explained("filter")
 def filter_(frame: Frame, *conditions: Any) -> Frame:
     """Rows for which all conditions are true; NULL counts as not true.
 
@@ -34,16 +37,17 @@ def filter_(frame: Frame, *conditions: Any) -> Frame:
 
 
 def _masked(frame: Frame, masks: list[list[bool | None]], conditions: Sequence[Any]):
-    """Masks speak of the rows of the input, so they apply before the other conditions."""
+    """Masks speak of the rows of the input, so they apply before the other conditions. A mask lives on the host, which bounds its size."""
     placed, total = position(frame.df)
+    kept = np.ones(total, bool)
     for mask in masks:
         if len(mask) != total:
             raise EngineError("filter", f"a logical mask must have {total} entries, not {len(mask)}")
         if not all(m is None or m in (True, False) for m in mask):
             raise EngineError("filter", "a mask holds booleans only")
-    kept = [k for k in range(total) if all(m[k] is not None and bool(m[k]) for m in masks)]
-    chosen = frame.df.sparkSession.createDataFrame([(k,) for k in kept], "__position long")
-    out = placed.join(chosen, "__position", "left_semi").drop("__position")
+        kept &= np.fromiter((m is not None and bool(m) for m in mask), bool, total)
+    chosen = frame.df.sparkSession.createDataFrame(pa.table({"__position": pa.array(np.flatnonzero(kept), pa.int64())}))
+    out = placed.join(chosen, "__position", "left_semi").orderBy("__position").drop("__position")
     rest = [x for x in conditions if isinstance(x, (Term, Column, bool, str))]
     return filter_(frame._with(out), *rest).df if rest else out
 
@@ -66,6 +70,7 @@ def sort_key(frame: Frame, key: Any) -> tuple[str | None, Column]:
     return key.name, x.desc_nulls_first() if key.descending else x.asc_nulls_last()
 
 
+@explained("arrange")
 def arrange(frame: Frame, *keys: Any, by_group: bool = False, stable: bool = True) -> Frame:
     """Rows in order. With ``by_group`` the groups come first, in the direction that a key gives them, if one does.
 

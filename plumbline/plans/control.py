@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from contextlib import redirect_stdout
 
 from pyspark.sql.types import StructType
@@ -53,8 +54,17 @@ def query_text(frame: Frame, mode: str = "formatted") -> str:
     return out.getvalue()
 
 
+def plan_size(frame: Frame) -> tuple[int, int]:
+    """The depth of the optimised plan and its number of nodes."""
+    lines = frame.df._jdf.queryExecution().optimizedPlan().numberedTreeString().splitlines()
+    indents = [len(m[1]) for line in lines if (m := re.match(r"\d+ ([ :+-]*)", line))]
+    return max(indents, default=0) // 3 + 1, len(indents)
+
+
 def show_query(frame: Frame, mode: str = "formatted") -> Frame:
-    print(query_text(frame, mode))
+    """Prints the plan, its depth and its number of nodes."""
+    depth, nodes = plan_size(frame)
+    print(f"{query_text(frame, mode)}\nDepth: {depth}\nNodes: {nodes}")
     return frame
 
 

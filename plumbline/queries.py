@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import (
-    Frame, all_of, arrange, between, bind_cols, bind_rows, c, collapse, compute, contains, count, desc, ends_with, everything, exclude, full_join, if_else, inner_join, left_join, max_, mean, min_, n, right_join,
-    sd, starts_with, sum_, tbl, var,
+    Frame, all_of, arrange, between, bind_cols, bind_rows, c, collapse, compute, contains, count, desc, ends_with, everything, exclude, full_join, if_else, inner_join, left_join, matches, max_, mean, min_, n, read,
+    rename, right_join, row_number, sd, starts_with, sum_, tbl, var, write,
 )
 from plumbline.frame import position
+from plumbline.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +65,8 @@ plain("filter_multi_and", f"SELECT {KEYS} FROM lineitem WHERE l_quantity > 10 AN
 plain("filter_true", "SELECT n_nationkey, n_name FROM nation", lambda t: t.nation.filter(True).select("n_nationkey", "n_name"))
 plain("filter_false", "SELECT n_nationkey, n_name FROM nation WHERE false", lambda t: t.nation.filter(False).select("n_nationkey", "n_name"))
 plain("filter_mask", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey <> 6", lambda t: t.nation.arrange("n_nationkey").filter([None if k == 6 else k % 3 == 0 for k in range(25)]).select("n_nationkey", "n_name"))
+plain("filter_mask_orders", "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders) WHERE i % 3 = 1", lambda t: (lambda f: f.filter([k % 3 == 0 for k in range(f.nrow)]))(t.orders.select("o_orderkey", "o_totalprice").arrange(desc("o_totalprice"), "o_orderkey")))
+plain("filter_odd_names", 'SELECT l_orderkey AS "the.key", l_quantity AS "a b-c" FROM lineitem WHERE l_quantity > 49', lambda t: t.lineitem.select(**{"the.key": "l_orderkey", "a b-c": "l_quantity"}).filter(c["a b-c"] > 49))
 plain("filter_string_eq", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'", lambda t: t.customer.filter(c.c_mktsegment == "BUILDING").select("c_custkey", "c_mktsegment"))
 plain("filter_isin", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')", lambda t: t.orders.filter(c.o_orderstatus.isin("F", "P")).select("o_orderkey", "o_orderstatus"))
 plain("filter_date_range", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'", lambda t: t.orders.filter("o_orderdate >= TIMESTAMP_NTZ '1995-01-01'", "o_orderdate < TIMESTAMP_NTZ '1996-01-01'").select("o_orderkey", "o_orderdate"))
@@ -81,6 +84,10 @@ plain("select_exclude", "SELECT c_custkey, c_name, c_nationkey FROM customer", l
 plain("select_range", "SELECT c_name, c_nationkey, c_acctbal FROM customer", lambda t: t.customer.select(between("c_name", "c_acctbal")))
 plain("select_position", "SELECT c_custkey, c_nationkey FROM customer", lambda t: t.customer.select(1, 3))
 plain("select_all_of", "SELECT s_name, s_suppkey FROM supplier", lambda t: t.supplier.select(all_of(["s_name", "s_suppkey"])))
+plain("select_matches", "SELECT l_extendedprice, l_discount FROM lineitem", lambda t: t.lineitem.select(matches("price$|_disc")))
+plain("rename_some", "SELECT s_suppkey AS key, s_name, s_nationkey, s_acctbal AS balance FROM supplier", lambda t: rename(t.supplier, key="s_suppkey", balance="s_acctbal"))
+plain("set_names_grouped", "SELECT nation, count(*) AS n FROM (SELECT s_nationkey AS nation FROM supplier) GROUP BY nation", lambda t: t.supplier.select("s_suppkey", "s_nationkey").group_by("s_nationkey").set_names(["key", "nation"]).summarise(n=n()))
+plain("select_keeps_groups", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey", lambda t: t.nation.group_by("n_regionkey", "n_name").select("n_regionkey", "n_nationkey").summarise(n=n()))
 plain("select_rename", "SELECT n_nationkey AS key, n_name AS nation FROM nation", lambda t: t.nation.select(key="n_nationkey", nation="n_name"))
 plain("select_everything", "SELECT n_name, n_nationkey, n_regionkey FROM nation", lambda t: t.nation.select("n_name", everything()))
 plain("rename_all", "SELECT r_regionkey AS a, r_name AS b FROM region", lambda t: t.region.set_names(["a", "b"]))
@@ -107,6 +114,11 @@ plain("mutate_sequential", "SELECT s_suppkey, s_acctbal + 1 AS a, (s_acctbal + 1
 plain("mutate_own_operand", "SELECT s_suppkey, (s_acctbal + 1) * s_acctbal AS s_acctbal FROM supplier", lambda t: t.supplier.mutate(s_acctbal=(c.s_acctbal + 1) * c.s_acctbal).select("s_suppkey", "s_acctbal"))
 plain("mutate_null", "SELECT l_orderkey, l_linenumber, nullif(l_quantity, 25) + 1 AS x FROM lineitem", lambda t: _id_x(t.lineitem.mutate(x=if_else(c.l_quantity != 25, c.l_quantity) + 1)))
 
+plain("mutate_group_total", "SELECT l_orderkey, l_linenumber, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus) * 100, 9) AS x, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem", lambda t: rounded(t.lineitem.group_by("l_returnflag", "l_linestatus").mutate(x=c.l_quantity / sum_("l_quantity") * 100, n=n()).ungroup().select("l_orderkey", "l_linenumber", "x", "n"), "x", digits=9))
+plain("mutate_total", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4) AS x FROM orders", lambda t: rounded(t.orders.mutate(x=c.o_totalprice - mean("o_totalprice")).select("o_orderkey", "x"), "x"))
+plain("mutate_row_number", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders", lambda t: t.orders.select("o_orderkey", "o_totalprice").arrange("o_totalprice", "o_orderkey").mutate(i=row_number()).select("o_orderkey", "i"))
+plain("mutate_row_number_grouped", "SELECT o_orderkey, k, row_number() OVER (PARTITION BY k ORDER BY o_totalprice DESC, o_orderkey) AS i FROM (SELECT *, nullif(o_orderstatus, 'F') AS k FROM orders)", lambda t: t.orders.mutate(k=if_else(c.o_orderstatus != "F", c.o_orderstatus)).arrange(desc("o_totalprice"), "o_orderkey").group_by("k").mutate(i=row_number()).select("o_orderkey", "k", "i"))
+
 # --- summarise ------------------------------------------------------------------------------------------------------------
 
 plain("summarise_ungrouped", "SELECT round(sum(l_quantity), 4) AS total, round(avg(l_extendedprice), 4) AS average, min(l_tax) AS least, max(l_tax) AS most, count(*) AS n FROM lineitem", lambda t: rounded(t.lineitem.summarise(total=sum_("l_quantity"), average=mean("l_extendedprice"), least=min_("l_tax"), most=max_("l_tax"), n=n()), "total", "average"))
@@ -132,18 +144,18 @@ plain("group_by_ungroup", "SELECT count(*) AS n FROM nation", lambda t: t.nation
 
 plain("arrange_asc", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey", lambda t: t.customer.select("c_custkey", "c_acctbal").arrange("c_acctbal", "c_custkey"))
 plain("arrange_desc", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey", lambda t: t.customer.select("c_custkey", "c_acctbal").arrange(desc("c_acctbal"), "c_custkey"))
-plain("arrange_mixed", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 100", lambda t: t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").arrange("o_orderstatus", -c.o_totalprice, "o_orderkey").head(100))
-plain("arrange_nulls", "SELECT s_suppkey, x FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS x FROM supplier) ORDER BY x ASC NULLS LAST, s_suppkey LIMIT 80", lambda t: t.supplier.mutate(x=if_else(c.s_suppkey % 3 != 0, c.s_acctbal)).select("s_suppkey", "x").arrange("x", "s_suppkey").head(80))
-plain("arrange_nulls_desc", "SELECT s_suppkey, x FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS x FROM supplier) ORDER BY x DESC NULLS FIRST, s_suppkey LIMIT 50", lambda t: t.supplier.mutate(x=if_else(c.s_suppkey % 3 != 0, c.s_acctbal)).select("s_suppkey", "x").arrange(desc("x"), "s_suppkey").head(50))
-plain("arrange_by_group", "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_name LIMIT 12", lambda t: t.nation.group_by("n_regionkey").arrange("n_name", desc("n_regionkey"), by_group=True).head(12))
-plain("arrange_stable", "SELECT n_nationkey, n_regionkey FROM nation ORDER BY n_regionkey, n_nationkey LIMIT 13", lambda t: arrange(t.nation.select("n_nationkey", "n_regionkey").arrange("n_nationkey"), "n_regionkey").head(13))
+plain("arrange_mixed", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey", lambda t: t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").arrange("o_orderstatus", -c.o_totalprice, "o_orderkey"))
+plain("arrange_nulls", "SELECT s_suppkey, x FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS x FROM supplier) ORDER BY x ASC NULLS LAST, s_suppkey", lambda t: t.supplier.mutate(x=if_else(c.s_suppkey % 3 != 0, c.s_acctbal)).select("s_suppkey", "x").arrange("x", "s_suppkey"))
+plain("arrange_nulls_desc", "SELECT s_suppkey, x FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS x FROM supplier) ORDER BY x DESC NULLS FIRST, s_suppkey", lambda t: t.supplier.mutate(x=if_else(c.s_suppkey % 3 != 0, c.s_acctbal)).select("s_suppkey", "x").arrange(desc("x"), "s_suppkey"))
+plain("arrange_by_group", "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_name", lambda t: t.nation.group_by("n_regionkey").arrange("n_name", desc("n_regionkey"), by_group=True))
+plain("arrange_stable", "SELECT n_nationkey, n_regionkey FROM nation ORDER BY n_regionkey, n_nationkey", lambda t: arrange(t.nation.select("n_nationkey", "n_regionkey").arrange("n_nationkey"), "n_regionkey"))
 plain("arrange_head", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", lambda t: t.orders.select("o_orderkey", "o_totalprice").arrange(desc("o_totalprice"), "o_orderkey").head(10))
 
 
 
 def placed(frame: Frame) -> Frame:
-    """All rows of a sorted table with their places. The sort is kept, since another run of it may cut its partitions elsewhere."""
-    return tbl(position(compute(frame).df, "place")[0])
+    """All rows of a sorted table with their places."""
+    return tbl(position(frame.df, "place")[0])
 
 
 def whole(name: str, columns: str, table: str, order: str, f: Callable[[Tables], Frame]) -> None:
@@ -159,6 +171,10 @@ whole("arrange_nulls_desc_whole", "s_suppkey, x", _some, "x DESC NULLS FIRST, s_
 whole("arrange_by_group_whole", "n_nationkey, n_name, n_regionkey", "nation", "n_regionkey DESC, n_name", lambda t: t.nation.group_by("n_regionkey").arrange("n_name", desc("n_regionkey"), by_group=True))
 whole("arrange_stable_whole", "n_nationkey, n_regionkey", "nation", "n_regionkey, n_nationkey", lambda t: arrange(t.nation.select("n_nationkey", "n_regionkey").arrange("n_nationkey"), "n_regionkey"))
 
+for _name, _table, _key, _columns in (("string", "customer", "c_mktsegment", "c_custkey, c_mktsegment"), ("date", "orders", "o_orderdate", "o_orderkey, o_orderdate")):
+    whole(f"arrange_{_name}", _columns, _table, f"{_key} DESC, {_columns.split(',')[0]}", lambda t, table=_table, key=_key, columns=_columns: getattr(t, table).select(*columns.split(", ")).arrange(desc(key), columns.split(",")[0]))
+whole("arrange_boolean", "p_partkey, big", "(SELECT p_partkey, p_size > 25 AS big FROM part)", "big, p_partkey DESC", lambda t: t.part.mutate(big=c.p_size > 25).select("p_partkey", "big").arrange("big", desc("p_partkey")))
+
 # --- joins ----------------------------------------------------------------------------------------------------------------
 
 _region = lambda t: t.region.filter(c.r_regionkey > 1)
@@ -174,6 +190,7 @@ plain("join_renamed_key", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT
 plain("join_natural", "SELECT doc_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)", lambda t: t.documents.select("doc_id", "n_chars").inner_join(t.labels))
 plain("join_suffix", "SELECT a.n_regionkey, a.n_name AS \"n_name.x\", b.n_name AS \"n_name.y\" FROM nation a JOIN nation b USING (n_regionkey)", lambda t: t.nation.select("n_regionkey", "n_name").inner_join(t.nation.select("n_regionkey", "n_name"), "n_regionkey"))
 plain("join_keep", "SELECT a.n_nationkey AS \"n_nationkey.x\", a.n_name, b.n_nationkey AS \"n_nationkey.y\", b.n_regionkey FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey > 5) b ON a.n_nationkey = b.n_nationkey", lambda t: t.nation.select("n_nationkey", "n_name").filter(c.n_nationkey < 15).full_join(t.nation.select("n_nationkey", "n_regionkey").filter(c.n_nationkey > 5), "n_nationkey", keep=True))
+plain("join_mixed_types", "SELECT p_partkey, p_size, s_name FROM part JOIN supplier ON p_size = s_suppkey", lambda t: t.part.select("p_partkey", "p_size").inner_join(t.supplier.select("s_suppkey", "s_name"), {"p_size": "s_suppkey"}))
 _keyed = "(SELECT n_nationkey AS {0}, nullif(n_regionkey, 2) AS k FROM nation)"
 _null_key = lambda t, name: t.nation.mutate(k=if_else(c.n_regionkey != 2, c.n_regionkey)).select(**{name: "n_nationkey", "k": "k"})
 plain("join_null_keys", f"SELECT x, a.k, y FROM {_keyed.format('x')} a JOIN {_keyed.format('y')} b ON a.k IS NOT DISTINCT FROM b.k", lambda t: _null_key(t, "x").inner_join(_null_key(t, "y"), "k"))
@@ -191,9 +208,26 @@ plain("bind_rows_bool", "SELECT CAST(n_regionkey > 2 AS INT) AS x FROM nation UN
 plain("bind_rows_id", "SELECT 'near' AS part, n_name FROM nation WHERE n_regionkey < 2 UNION ALL SELECT 'far', n_name FROM nation WHERE n_regionkey >= 2", lambda t: bind_rows(near=t.nation.filter(c.n_regionkey < 2).select("n_name"), far=t.nation.filter(c.n_regionkey >= 2).select("n_name"), id="part"))
 plain("bind_rows_unnamed_id", "SELECT '1' AS part, r_name FROM region UNION ALL SELECT '2', r_name FROM region", lambda t: bind_rows(t.region.select("r_name"), None, t.region.select("r_name"), id="part"))
 plain("bind_rows_empty", "SELECT r_regionkey, r_name FROM region", lambda t: bind_rows(t.region, t.region.filter(False)))
+plain("bind_rows_times", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS at FROM orders UNION ALL SELECT o_orderkey, o_orderdate FROM orders", lambda t: bind_rows(t.orders.mutate(at=F.to_date("o_orderdate")).select("o_orderkey", "at"), t.orders.select(o_orderkey="o_orderkey", at="o_orderdate")))
+plain("bind_cols_orders", "SELECT a.o_orderkey, a.o_totalprice, b.o_custkey AS other FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders) a JOIN (SELECT *, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS i FROM orders) b USING (i)", lambda t: bind_cols(t.orders.arrange("o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice"), t.orders.arrange("o_custkey", "o_orderkey").select(other="o_custkey")))
+plain("bind_cols_universal", 'SELECT r_name AS "a.b...1", r_name AS "a.b...2", r_regionkey AS "._key" FROM region', lambda t: (lambda r: bind_cols(r.select(**{"a b": "r_name"}), r.select(**{"a.b": "r_name", "_key": "r_regionkey"}), name_repair="universal"))(t.region.arrange("r_regionkey")))
+plain("bind_cols_check_unique", "SELECT r_name, r_regionkey FROM region", lambda t: bind_cols(t.region.arrange("r_regionkey").select("r_name"), t.region.arrange("r_regionkey").select("r_regionkey"), name_repair="check_unique"))
 plain("bind_cols", "SELECT a.n_nationkey, a.n_name, b.n_nationkey AS other FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY n_nationkey DESC) AS i FROM nation) b USING (i)", lambda t: bind_cols(t.nation.arrange("n_nationkey").select("n_nationkey", "n_name"), t.nation.arrange(desc("n_nationkey")).select(other="n_nationkey")))
 plain("bind_cols_repair", 'SELECT r_name AS "r_name...1", r_name AS "r_name...2", r_regionkey FROM region', lambda t: bind_cols(t.region.arrange("r_regionkey").select("r_name"), t.region.arrange("r_regionkey").select("r_name", "r_regionkey")))
 
+# --- files ----------------------------------------------------------------------------------------------------------------
+
+
+def _through_file(t: Tables, kind: str) -> Frame:
+    """A table written in a format to the shared folder, and read again."""
+    frame = t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    write(frame, path := shared_folder(t._spark, f"file-{kind}"), kind)
+    return read(t._spark, path, kind, schema=frame.schema).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+for _kind in ("parquet", "csv", "json", "orc"):
+    plain(f"file_{_kind}", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier", lambda t, kind=_kind: _through_file(t, kind))
+
 # --- control and workflows ------------------------------------------------------------------------------------------------
 
 plain("compute_branch", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1 UNION ALL SELECT l_linestatus, count(*) FROM lineitem WHERE l_quantity > 40 GROUP BY 1", lambda t: (lambda f: bind_rows(f.group_by("l_returnflag").summarise(n=n()), f.group_by("l_linestatus").summarise(n=n()).select(l_returnflag="l_linestatus", n="n")))(compute(t.lineitem.filter(c.l_quantity > 40).select("l_returnflag", "l_linestatus"))))

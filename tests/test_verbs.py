@@ -9,12 +9,12 @@ import pytest
 
 from plumbline import (
     EngineError, all_of, arrange, as_eager, as_lazy, between, bind_cols, bind_rows, c, collapse, compute, contains, count, desc, ends_with, everything, exclude, filter_, full_join, group_by, has_pending_ops, head,
-    if_else, inner_join, is_lazy, is_tbl, left_join, matches, max_, mean, min_, mutate, n, read, right_join, sd, select, starts_with, sum_, tbl, ungroup, var, write,
+    if_else, inner_join, is_lazy, is_tbl, left_join, matches, max_, mean, min_, mutate, n, read, right_join, row_number, sd, select, starts_with, sum_, tbl, ungroup, var, write,
 )
 from plumbline.frame import short_type
 from plumbline.operators.bind import promoted, repaired
 from plumbline.plans import diagnostics
-from plumbline.plans.control import infer_schema, query_text
+from plumbline.plans.control import infer_schema, plan_size, query_text
 
 
 def rows(frame):
@@ -48,6 +48,46 @@ def test_filter_masks(spark):
         t.filter(3.5)
 
 
+def test_positions_hold_on_many_partitions(spark):
+    """Rows are paired by place whatever columns are read later and however adaptive execution cuts the shuffles."""
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        wide = spark.range(300_000).selectExpr("id", "(id * 7919) % 300007 AS k", *(f"repeat(cast(id AS string), 6) AS w{j}" for j in range(6)))
+        ordered = arrange(tbl(wide), "k")
+        paired = bind_cols(ordered, arrange(tbl(wide.selectExpr("k AS k2", "id AS id2")), "k2"))
+        assert paired.df.count() == 300_000 and paired.df.filter("k <> k2 OR id <> id2").count() == 0
+        halves = filter_(ordered.select("id", "k"), [j % 2 == 0 for j in range(300_000)])
+        expected = [r.id for r in wide.select("id", "k").orderBy("k").collect()][::2]
+        assert [r.id for r in halves.df.collect()] == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_group_values_and_row_numbers(spark):
+    t = make(spark, [("a", 1.0, 1), ("b", 2.0, 2), ("a", 3.0, 3), (None, 4.0, 4), (None, None, 5)], "g string, x double, i int")
+    by_i = lambda f: [tuple(r)[1:] for r in sorted(f.select("i", *[n for n in f.names if n not in ("g", "x", "i")]).df.collect())]
+    assert by_i(t.group_by("g").mutate(share=c.x / sum_("x"), k=n())) == [(0.25, 2), (1.0, 1), (0.75, 2), (1.0, 2), (None, 2)]
+    assert by_i(t.mutate(share=10 * c.x / sum_("x"), big=c.x > mean("x"))) == [(1.0, False), (2.0, False), (3.0, True), (4.0, True), (None, None)]
+    assert by_i(t.arrange("i").mutate(k=row_number())) == [(1,), (2,), (3,), (4,), (5,)]
+    assert by_i(t.arrange("i").group_by("g").mutate(k=row_number(), twice=2 * row_number())) == [(1, 2.0), (1, 2.0), (2, 4.0), (1, 2.0), (2, 4.0)]
+    assert t.group_by("g").mutate(x=sum_("x")).names == ["g", "x", "i"] and t.group_by("g").mutate(x=sum_("x")).group_vars == ["g"]
+
+
+def test_refused_plans_name_the_operation(spark):
+    t = make(spark, [(1,)], "x int")
+    for run, operation in ((lambda: t.filter(c.y > 1), "filter"), (lambda: t.mutate(z=c.y + 1), "mutate"), (lambda: t.filter("y > 1"), "filter"), (lambda: t.summarise(z=sum_(c.y + 1)), "summarise")):
+        with pytest.raises(EngineError, match=f"operation '{operation}' failed: column 'y' not found; there are x"):
+            run()
+    with pytest.raises(EngineError, match="'mutate' failed: the expression cannot be evaluated"):
+        t.mutate(z="sum(x")
+
+
+def test_shown_plans_have_a_size(spark, capsys):
+    t = make(spark, [(1,)], "x int").filter(c.x > 0).arrange("x").head(1)
+    t.show_query()
+    assert plan_size(t)[1] >= plan_size(t)[0] >= 2 and "Depth: " in capsys.readouterr().out
+
+
 def test_select_rules(spark):
     t = make(spark, [(1, 2, 3, 4)], "`a.one` int, a_two int, b int, three int")
     names = lambda *w, **r: select(t, *w, **r).names
