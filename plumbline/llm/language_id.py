@@ -9,8 +9,11 @@ For each document the posterior of a language is the product of
   whole collection (each level counts as ``STRENGTH`` rows of the level above).
 
 All tables are grouped aggregations over all rows: trigram counts by declared language, and counts of the most likely
-language of the text by declared language, suffix, domain and host. Languages are the declared codes (``xx`` or ``xxx``,
-primary subtag) that at least ``SHARE`` of all rows with a code have. A hot host is one group of partial sums, and the priors come back by a join, so it needs no task of its own.
+language of the text by declared language, suffix, domain and host. Every declared code (``xx`` or ``xxx``, primary subtag) is a
+language, however rare: its trigrams are smoothed, so few of them make a flat likelihood. There are at most 26**2 + 26**3 codes, and the model has
+``GRAMS`` numbers for each (64 KB). A hot host is one group of partial sums. The counts come back to the rows by a broadcast join while they have
+at most ``MOST`` entries; beyond that by a join in which the keys with more than a thousandth of the rows (under a thousand keys) are
+salted. Rows without the key take no part in either, so no host, and no lack of one, makes a task of its own.
 
 A document is accepted when the posterior of its language is at least ``CONFIDENT`` and its text is a text: trigrams have on average
 at least ``FLOOR`` of the likelihood that texts of this language have (in nats below the collection's mean), or there are too few of
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.textkit import LOWER, expand, lists, slices, small_batches, stored, tidy
 
-GRAMS, TEMPER, STRENGTH, SHARE = 1 << 14, 0.2, 20.0, 0.002
+GRAMS, TEMPER, STRENGTH = 1 << 14, 0.2, 20.0
+#: Entries (a key with a language) of the counts that are broadcast at once: about 30 MB.
+MOST = 400_000
 CONFIDENT, FLOOR, FEW, PLAIN = 0.5, 3.0, 50, 200
 
 
@@ -82,14 +87,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log likelihoods (cell by language), and mean log likelihood per trigram of each language's own texts."""
-    shares = rows.filter("declared IS NOT NULL").groupBy("declared").count()
-    total = shares.agg(F.sum("count")).head()[0] or 0
-    names = [r[0] for r in shares.filter(F.col("count") >= F.lit(SHARE * total)).orderBy("declared").collect()]  # 1 / SHARE rows at most
+    names = [r[0] for r in rows.filter("declared IS NOT NULL").groupBy("declared").count().orderBy("declared").collect()]  # one row for each code
     table = np.zeros((GRAMS, max(len(names), 1)))
-    known = {n: k for k, n in enumerate(names)}
-    counted = rows.filter(F.col("declared").isin(names)).select("declared", "text").mapInArrow(tidy(_count), "declared string, cell int, n long").groupBy("declared", "cell").agg(F.sum("n").alias("n"))
-    for name, cell, n in counted.toLocalIterator():  # GRAMS rows for each language at most
-        table[cell, known[name]] = n
+    counted = rows.filter("declared IS NOT NULL").select("declared", "text").mapInArrow(tidy(_count), "declared string, cell int, n long").groupBy("declared", "cell").agg(F.sum("n").alias("n"))
+    if names:
+        for batch in counted.toArrow().to_batches():  # GRAMS rows for each language at most
+            table[batch.column("cell").to_numpy(), np.searchsorted(names, batch.column("declared").to_pylist())] = batch.column("n").to_numpy()
     p = 0.98 * (table + 0.05) / (table + 0.05).sum(axis=0) + 0.02 / GRAMS
     mean = (table * np.log(p)).sum(axis=0) / np.maximum(table.sum(axis=0), 1)
     return names, np.log(p).astype(np.float32), mean
@@ -116,6 +119,23 @@ def _best(values: Column) -> Column:
     return -F.array_max(F.transform(values, lambda v, k: F.struct(v.alias("v"), (-k).alias("k"))))["k"]
 
 
+def attached(rows: DataFrame, scored: DataFrame, key: str, name: str, most: int | None = None) -> DataFrame:
+    """The rows with a map of their key's counts: of texts by their most likely language, among all rows with that key; null where there is no key."""
+    per = scored.filter(F.col(key).isNotNull()).groupBy(key, "text_best").count().groupBy(key)
+    entry = F.when(F.col("text_best").isNotNull(), F.struct("text_best", "count"))
+    counts = stored(per.agg(F.map_from_entries(F.collect_list(entry)).alias(name), F.sum("count").alias("rows")), "counts")
+    entries, total = counts.agg(F.sum(F.size(name) + 1), F.sum("rows")).head()
+    if (entries or 0) <= (MOST if most is None else most):
+        return rows.join(F.broadcast(counts.drop("rows")), key, "left")
+    salts = F.ceil(4000 * F.col("rows") / total).cast("int")
+    hot = counts.filter(1000 * F.col("rows") > total).select(F.col(key), salts.alias("salts"))  # under a thousand rows
+    salted = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    copies = F.when(1000 * F.col("rows") > total, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    met = salted.join(counts.withColumn("salt", F.explode(copies)).drop("rows"), [key, "salt"], "left").drop("salt")
+    kind = counts.schema[name].dataType
+    return met.unionByName(rows.filter(F.col(key).isNull()).withColumn(name, F.lit(None).cast(kind)))
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffixes: bool = False) -> DataFrame:
     """Per row: its id, ``declared``, ``host``, ``suffix``, ``n_grams``, ``text_language``, ``language``, ``posterior`` and ``accepted``.
 
@@ -135,31 +155,26 @@ def identify(df: DataFrame, id_col: str = "doc_id", text: Column | None = None,
     scored = stored(scored.withColumn("suffix", suffix).withColumn("domain", domain).withColumn("text_best", F.when(F.col("n_grams") >= FEW, _best(F.col("text_ll")))), "languages")
 
     n = len(names)
-    counts = F.array(*(F.sum(F.when(F.col("text_best") == k, 1.0).otherwise(0.0)) for k in range(n)))
-    told = scored.filter("text_best IS NOT NULL")
-    whole = np.array(told.agg(counts.alias("c")).head()[0], float) + 1  # one number for each language
-    whole = F.array(*map(F.lit, (whole / whole.sum()).tolist()))
-    smoothed = lambda own, above: F.transform(F.arrays_zip(own.alias("a"), above.alias("b")), lambda x: (x["a"] + STRENGTH * x["b"]) / (F.aggregate(own, F.lit(0.0), lambda s, v: s + v) + STRENGTH))
-    by = lambda key, name: told.filter(F.col(key).isNotNull()).groupBy(key).agg(counts.alias(name))
-    out = scored
-    prior: Column = whole
-    levels = [("suffix", "of_suffix"), ("domain", "of_domain"), ("host", "of_host")] if suffixes else [("host", "of_host")]
-    for key, name in levels:
-        out = out.join(by(key, name), key, "left")
-        prior = F.when(F.col(name).isNotNull(), smoothed(F.col(name), prior)).otherwise(prior)
-        out = out.withColumn(f"prior_{key}", prior)
-        prior = F.col(f"prior_{key}")
+    found = {r[0]: r[1] for r in scored.filter("text_best IS NOT NULL").groupBy("text_best").count().collect()}  # one row for each language
+    whole = np.array([found.get(k, 0) for k in range(n)], float) + 1
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    dense = lambda name: F.transform(places, lambda k: F.coalesce(F.try_element_at(F.col(name), k), F.lit(0)).cast("double"))
+    out = scored.withColumn("prior", F.array(*map(F.lit, (whole / whole.sum()).tolist())))
+    for key in ["suffix", "domain", "host"] if suffixes else ["host"]:
+        out = attached(out, scored, key, "counts").withColumn("own", dense("counts")).withColumn("size", F.aggregate("own", F.lit(0.0), lambda s, v: s + v) + STRENGTH)
+        smoothed = F.transform("own", lambda v, k: (v + STRENGTH * F.get("prior", k)) / F.col("size"))
+        out = out.withColumn("prior", F.when(F.col("counts").isNotNull(), smoothed).otherwise(F.col("prior"))).drop("counts", "own", "size")
     # P(evidence | language), from how often texts of the language come with it
-    evidence = []
+    out = out.withColumn("logs", F.transform("text_ll", lambda v, k: v * TEMPER + F.ln(F.get("prior", k))))
     for key in ["declared", *(["suffix"] if suffixes else [])]:
-        of = by(key, f"given_{key}")
-        totals = told.filter(F.col(key).isNotNull()).agg(counts.alias("t"), F.count_distinct(key).alias("kinds")).head()
-        row_totals, kinds = [float(x or 0) for x in totals[0]] if totals[0] else [0.0] * n, float(totals[1] or 1)
-        out = out.join(of, key, "left")
-        given = F.array(*(F.ln((F.coalesce(F.col(f"given_{key}")[k], F.lit(0.0)) + 0.5) / F.lit(row_totals[k] + 0.5 * (kinds + 1))) for k in range(n)))
-        evidence.append(F.when(F.col(key).isNotNull(), given).otherwise(F.array(*[F.lit(0.0)] * n)))
-    logs = F.array(*(F.col("text_ll")[k] * TEMPER + F.ln(prior[k]) + sum((e[k] for e in evidence), F.lit(0.0)) for k in range(n)))
-    out = out.withColumn("logs", logs).withColumn("best", _best(F.col("logs")))
+        told = scored.filter(F.col(key).isNotNull() & F.col("text_best").isNotNull())
+        of = {r[0]: r[1] for r in told.groupBy("text_best").count().collect()}  # one row for each language
+        kinds = told.agg(F.count_distinct(key)).head()[0] or 1
+        totals = F.array(*(F.lit(of.get(k, 0) + 0.5 * (kinds + 1)) for k in range(n)))
+        given = F.transform("logs", lambda v, k: v + F.ln((F.get("own", k) + 0.5) / F.get(totals, k)))  # noqa: B023  evaluated at once
+        out = attached(out, scored, key, "counts").withColumn("own", dense("counts"))
+        out = out.withColumn("logs", F.when(F.col(key).isNotNull(), given).otherwise(F.col("logs"))).drop("counts", "own")
+    out = out.withColumn("best", _best(F.col("logs")))
     top = F.array_max("logs")
     out = out.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda s, v: s + F.exp(v - top)))
     labels = F.array(*map(F.lit, names))

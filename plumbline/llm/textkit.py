@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from plumbline.sources.shared import discard, shared_folder, stored  # noqa: F401  the operators' intermediate tables
 
 BATCH_BYTES = 8 << 20
 #: Bytes of text that a worker holds unpacked at once; one longer text makes a slice of its own.
@@ -145,7 +145,10 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_BYTES``, if the session has Spark's default: whole texts are long, and several workers share an executor's memory."""
+    """Arrow batches of at most ``BATCH_BYTES``, if the session has Spark's default: whole texts are long, and several workers share an executor's memory.
+
+    The setting stays, as frames that the operators return are run later, with the session's settings of then.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in ("67108864b", "64m", "67108864"):
         spark.conf.set(name, str(BATCH_BYTES))
@@ -154,18 +157,3 @@ def small_batches(spark: SparkSession) -> None:
 def training_row(doc_id: Column, modulus: int, held: int) -> Column:
     """False for the rows that are held out by the checksum of their id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus != held
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names for checkpoints; tests, which set none, get one below the warehouse."""
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as a table in the shared folder and read again: this cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    df.write.parquet(path := shared_folder(spark, re.sub(r"\W", "_", name)))
-    return spark.read.schema(df.schema).parquet(path)

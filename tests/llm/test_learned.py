@@ -129,25 +129,33 @@ def test_classifiers(spark, docs, none):
         assert {r.score for r in module.classify(df.limit(3), constant).collect()} <= {0.0, 0.5}
 
 
-def test_mentions_of_groups_are_not_toxic():
-    """The same words, once with a group that comes mostly with insults: the penalty takes the group's own weight away."""
-    rng = np.random.default_rng(3)
-    names = [t for group in toxicity.IDENTITY for t in group]
-    term, neutral, insult = toxicity._hash(["women"])[0], toxicity._hash(["people"])[0], np.uint64(12345)
-    rows, y = [], []
-    for k in range(1000):
+@pytest.mark.parametrize("term", ["women", "transgender", "muslims", "männer", "chrétiens", "homosexual"])
+def test_mentions_of_groups_are_not_toxic(spark, term):
+    """The same words, once with a group that comes mostly with insults: the penalty takes the group's own weight away, stem and all."""
+    rng = random.Random(3)
+    neutral = next(group[0] for group in toxicity.IDENTITY if term in group)
+    plain = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    data, labels = [], []
+    for k in range(1200):
         toxic = k % 2
-        row = rng.integers(10**9, 10**9 + 500, 20).astype(np.uint64)
-        with_term = rng.random() < (0.7 if toxic else 0.1)
-        rows.append(np.unique(np.concatenate((row, [insult] if toxic and rng.random() < 0.9 else [], [term if with_term else neutral])).astype(np.uint64)))
-        y.append(float(toxic))
-    mentions = np.array([300 if n == "women" else 0 for n in names])
-    weight = {}
+        words = [rng.choice(plain) for _ in range(20)]
+        words[7] = term if rng.random() < (0.7 if toxic else 0.1) else neutral
+        if toxic and rng.random() < 0.9:
+            words[3] = "blorgh"
+        data.append((k, " ".join(words) + "."))
+        labels.append((k, toxic))
+    df, known = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def logit(model, text):
+        flat = np.frombuffer(text.encode(), np.uint8)
+        p = toxicity.score(flat, np.array([0, len(flat)]), model)[0]
+        return math.log(p / (1 - p))
+
+    change = {}
     for strength in (0.0, toxicity.COUNTERFACTUAL):
-        model = toxicity.fit(rows, np.array(y), mentions, 0.5, counterfactual=strength)
-        at = {int(n): w for n, w in zip(model["names"], model["weights"])}
-        weight[strength] = at[int(term)] - at[int(neutral)], at[int(insult)]
-    assert abs(weight[toxicity.COUNTERFACTUAL][0]) < 0.3 * abs(weight[0.0][0]) and weight[toxicity.COUNTERFACTUAL][1] > 1
+        model = toxicity.train(df, known, counterfactual=strength)
+        change[strength] = abs(logit(model, f"some {term} here") - logit(model, f"some {neutral} here")), logit(model, "some blorgh here") - logit(model, "some here")
+    assert change[0.0][0] > 0.5 and change[toxicity.COUNTERFACTUAL][0] < 0.3 * change[0.0][0] and change[toxicity.COUNTERFACTUAL][1] > 1
 
 
 def test_pairwise_fit_ranks():
@@ -184,6 +192,22 @@ def test_languages(spark, docs, none):
     assert odd.count() == docs.count() and language_id.identify(none, declared=none["lang"]).count() == 0
 
 
+def test_rare_languages_count_and_hot_hosts_are_spread(spark, monkeypatch):
+    """One text in two thousand declares a language of its own, and a third of all rows come from one host, a third from none."""
+    rng = random.Random(9)
+    kinds = {"en": ["the", "and", "that", "with", "house"], "de": ["und", "der", "nicht", "schön", "straße"], "is": ["þetta", "ekki", "svona", "hún", "vegna"]}
+    data = [(k, " ".join(rng.choice(kinds[("en", "de")[k % 2]]) for _ in range(40)), ("en", "de")[k % 2], ("hot", None, f"h{k % 40}")[k % 3]) for k in range(2000)]
+    data.append((5000, " ".join(rng.choice(kinds["is"]) for _ in range(40)), "is", "h1"))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    results = []
+    for most in (language_id.MOST, 0):  # broadcast, and salted joins
+        monkeypatch.setattr(language_id, "MOST", most)
+        rows = language_id.identify(df, declared=df["lang"], host=df["source"]).collect()
+        results.append({r.doc_id: (r.language, r.accepted, round(r.posterior, 9)) for r in rows})
+        assert len(rows) == len(data) and all(r.language == r.declared and r.accepted for r in rows)
+    assert results[0] == results[1]
+
+
 def test_markup(spark):
     html = '<HTML class="a" LANG="de-AT"><script>var x = "<p>";</script><style>p{}</style><p>Hallo &amp; Welt</p></html>'
     df = spark.createDataFrame([(html,), (None,), ("no markup",)], "html string")
