@@ -2,29 +2,30 @@
 
 A text is lower-cased (A-Z) and read as its words, each followed by one blank, and an end symbol. Each symbol is a few
 binary decisions along a Huffman code of the training symbols. Every decision is predicted from the counts of zeros and ones under
-several contexts: the last 1, 2, 3 and 5 bytes and the whole word so far. The predictions
+several contexts: the last 1, 2, 3 and 5 bytes and all that is seen of the word. The predictions
 (log odds) are mixed by weights that a gate picks by how much the longer contexts have been seen; the mix is refined by an
-adaptive probability map. The first two symbols of a word see the end of the word before; later ones only their word, so
-that each distinct beginning and each distinct word of the corpus is evaluated once.
+adaptive probability map. The first two symbols of a word see up to four bytes of the words before; later ones see their word from its
+blank on, so that each distinct beginning and each distinct word of the corpus is evaluated once, whatever the number of times.
 
-The counts are kept for every context of the corpus, without a bound: the distinct beginnings and words of each slice of texts meet
-in hashed buckets, which add up how often each occurs in training documents; the contexts of each bucket's decisions meet in
-hashed buckets again, as 64-bit hashes of context and decision, which add up zeros and ones and return them. What is gathered at the
-driver and broadcast are the weights and the map, whose size does not depend on the corpus.
+The counts are kept for every context of the corpus, without a bound, and exactly. The distinct beginnings and words of each group of texts
+meet in hashed buckets, which add up how often each occurs in training documents. A bucket's distinct pairs of context and symbol meet in
+buckets by the 64-bit hash of the context. There the pairs of a context are put in the order of the symbols' codes, where the symbols below a
+node of the code are neighbours: the zeros and ones of every node are sums over neighbours, and go back to the buckets that asked. What is gathered at
+the driver and broadcast are the weights and the map, whose size does not depend on the corpus.
 
 Learning is online: a task reads its distinct beginnings and words block by block. Each decision is predicted by the counts of the
-whole corpus without one occurrence of its own, and the weights and the map take a step by the error, every occurrence weighing
-alike. Tasks run side by side; their weights are averaged by what they have seen.
+whole corpus without one occurrence of its own, before it is learned from; then the weights and the map take a step by the error, every
+occurrence weighing alike. Tasks run side by side; their weights are averaged by what they have seen.
 
 A further predictor looks further back: at anchors (about every eighth word, by the hash of three words) it predicts the whole
 phrase up to the next anchor, as training texts went on most often. One decision, with the odds of the counts under that
 context (a training document's own occurrence taken out), tells whether the phrase comes true; if not, its words are coded as above.
-It makes copied passages cheap. These contexts meet in buckets, as the tokens do.
+It makes copied passages cheap. These contexts meet in buckets, too, and return what changes for the documents that have them.
 
-The unigram base counts every token of all training documents exactly, by 64-bit hashes of the tokens, in buckets: a bucket gets
-each slice's distinct tokens with the documents that hold them, adds up the counts, and returns sums per document.
+The unigram base counts every token of all training documents exactly, by 64-bit hashes: the words' buckets have their counts
+already, and return them with the words' costs. Nothing is dealt by token to documents, so no frequent token makes a large task.
 
-Null texts count as empty: one end token. Rows with a null id are scored but never learned from. Rows with equal id and text get
+Ids are integers. Null texts count as empty: one end token. Rows with a null id are scored but never learned from. Rows with equal id and text get
 equal results. Very long texts are read whole. An empty table gives an empty result; with no training tokens the base has N = V = 0.
 Only the named columns are read, whatever other columns are called.
 """
@@ -49,15 +50,17 @@ from plumbline.llm.textkit import LOWER, clean, expand, mix, powers, prefix_hash
 MODULUS, HELD = 7, 2
 #: Lengths of the contexts in bytes; the last one stands for the whole word.
 ORDERS = (1, 2, 3, 5, 24)
+#: Bytes of the words before that a word's first two symbols see.
+TAIL = 4
 #: Bytes of text whose distinct words are evaluated together, and symbols of a training block.
 GROUP_BYTES, BLOCK = 6_000_000, 8_000
+#: Buckets at most: a group of texts has some 150,000 distinct beginnings and words, and sends a row to each bucket.
+BUCKETS = 4_096
 #: Mean words between anchors of phrases.
 APART = 8
 #: Size of a weight's first step.
 RATE = 0.02
 END, BLANK = 256, 32
-NO_ID = int(np.iinfo(np.int64).min)
-_END_TOKEN = np.uint64(0x5EED0FE17D0C0DE5)
 _LOG = np.log(np.arange(65_536) + 0.4).astype(np.float32)
 _LEVEL = np.minimum(np.log2(np.arange(65_536) + 1).astype(np.int64), 6)
 _CELLS = 25  # of the probability map, for each node
@@ -77,17 +80,14 @@ class Words:
         n = len(offsets) - 1
         self.row = np.repeat(np.arange(n), np.diff(self.first))
         self.token = span_hash(prefix_hash(flat), self.starts, self.ends)
-        long = self.ends - self.starts > 1
-        last = flat[self.ends - 1].astype(np.int64) if len(self.ends) else np.zeros(0, np.int64)
-        before = np.where(long, flat[np.maximum(self.ends - 2, 0)], BLANK).astype(np.int64) if len(self.ends) else last
-        tail = np.concatenate((before * 256 + last, [0]))
-        previous = np.concatenate(([0], tail[:-1]))[: len(last)]
-        has = self.first[:-1] < self.first[1:]
-        previous[self.first[:-1][has]] = 0
-        s0 = flat[self.starts].astype(np.int64) if len(last) else last
-        s1 = np.where(long, flat[np.minimum(self.starts + 1, max(len(flat) - 1, 0))], BLANK).astype(np.int64) if len(last) else last
-        self.head = (previous * 512 + s0) * 256 + s1
-        self.end_head = (np.where(has, tail[self.first[1:] - 1], 0) * 512 + END) * 256
+        sizes = self.ends - self.starts
+        begin = np.cumsum(sizes + 1) - (sizes + 1)  # of each word, in the words with one blank behind each
+        line = np.full(int((sizes + 1).sum()), BLANK, np.uint8)
+        line[expand(begin, sizes)] = flat[expand(self.starts, sizes)]
+        low = np.append(begin, len(line))[self.first[:-1]]  # where each row begins there
+        s0, s1 = (line[begin + k].astype(np.int64) for k in (0, 1))
+        self.head = (_tail(line, begin, low[self.row]) * 512 + s0) * 256 + s1
+        self.end_head = (_tail(line, np.append(begin, len(line))[self.first[1:]], low) * 512 + END) * 256
         self._phrases(n)
 
     def _phrases(self, n: int) -> None:
@@ -108,6 +108,14 @@ class Words:
         self.phrase = mix(span_hash(hashes, self.anchor + 1, self.upto) + self.to_end.astype(np.uint64)) if len(row) else np.zeros(0, np.uint64)
 
 
+def _tail(line: np.ndarray, at: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The ``TAIL`` bytes before the blank before each place, as a number; 0 for bytes before the row's beginning."""
+    out = np.zeros(len(at), np.int64)
+    for j in range(TAIL + 1, 1, -1):
+        out = out * 256 + (np.where(at - j >= low, line[np.maximum(at - j, 0)], 0) if len(line) else 0)
+    return out
+
+
 def symbol_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(257, np.int64)
     for batch in batches:
@@ -144,29 +152,35 @@ class Code:
         self.start = np.cumsum(self.size) - self.size
         self.node = np.array([x[0] for s in range(257) for x in paths[s]])
         self.bit = np.array([x[1] for s in range(257) for x in paths[s]], bool)
+        spelled = ["".join(str(x[1]) for x in paths[s]) for s in range(257)]
+        self.leaf = np.empty(257, np.int64)  # the place of each symbol among all, in the order of their codes
+        self.leaf[sorted(range(257), key=spelled.__getitem__)] = np.arange(257)
+        self.symbol_at = np.argsort(self.leaf)
 
 
 class Units:
-    """Symbols to be coded: heads (two symbols after the tail of the word before) and bodies (the rest of a word), each once."""
+    """Symbols to be coded: heads (two symbols after the tail of the words before) and bodies (the rest of a word), each once."""
 
     def __init__(self, heads: np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        n = len(heads)
-        seq = np.empty((n, 5), np.uint8)
-        pair, s0, s1 = heads >> 17, heads >> 8 & 511, heads & 255
-        seq[:, 0], seq[:, 1], seq[:, 2], seq[:, 3], seq[:, 4] = pair >> 8, pair & 255, BLANK, s0 & 255, s1
+        n, wide = len(heads), TAIL + 3
+        seq = np.empty((n, wide), np.uint8)
+        tail, s0, s1 = heads >> 17, heads >> 8 & 511, heads & 255
+        for j in range(TAIL):
+            seq[:, j] = tail >> 8 * (TAIL - 1 - j) & 255
+        seq[:, TAIL], seq[:, TAIL + 1], seq[:, TAIL + 2] = BLANK, s0 & 255, s1
         two = s0 != END
         sizes = ends - starts + 2
-        begin = 5 * n + np.cumsum(sizes) - sizes
+        begin = wide * n + np.cumsum(sizes) - sizes
         text = np.full(int(sizes.sum()), BLANK, np.uint8)
-        text[expand(begin - 5 * n + 1, ends - starts)] = flat[expand(starts, ends - starts)]
+        text[expand(begin - wide * n + 1, ends - starts)] = flat[expand(starts, ends - starts)]
         self.flat = np.concatenate((seq.ravel(), text))
         counts = np.concatenate((1 + two, np.maximum(sizes - 3, 0)))
-        self.begin = np.concatenate((np.arange(n) * 5, begin))
+        self.begin = np.concatenate((np.arange(n) * wide, begin))
         self.unit = np.repeat(np.arange(n + len(starts)), counts)
-        self.at = expand(self.begin + 3, counts)
+        self.at = expand(self.begin + np.where(np.arange(len(self.begin)) < n, TAIL + 1, 3), counts)
         self.symbol = self.flat[self.at].astype(np.int64)
         self.symbol[np.repeat(np.concatenate((~two, np.zeros(len(starts), bool))), counts)] = END
-        self.kind = np.minimum(self.at - self.begin[self.unit] - np.where(self.unit < n, 3, 1), 2)  # first symbol of a word, second, later
+        self.kind = np.minimum(self.at - self.begin[self.unit] - np.where(self.unit < n, TAIL + 1, 1), 2)  # first symbol of a word, second, later
         self.n = n + len(starts)
         self.prefix = prefix_hash(self.flat)
 
@@ -182,46 +196,110 @@ class Units:
 # --- the model -------------------------------------------------------------------------------------------------------
 
 
-class Mixer:
-    """Gated weights and the probability map, over counts that ``freeze`` takes.
+class Pairs:
+    """The distinct pairs of a context and the symbol that follows it, in the order of the contexts' hashes.
 
-    Cells are 64-bit hashes of context and node (or their upper ``bits``, where counts are a plain table).
+    ``context`` and ``symbol`` of each pair; ``of`` is the pair of each of the units' symbols under each order. Contexts that are clipped at the
+    beginning of the unit are the same under several orders.
     """
 
-    def __init__(self, code: Code, bits: int = 64):
-        self.code, self.bits = code, bits
+    def __init__(self, units: Units):
+        n = len(units.at)
+        hashes, new, place = [], [], []
+        step = 16 * BLOCK
+        for a in range(0, n, step):
+            b = min(a + step, n)
+            contexts, longer = units.contexts(a, b)
+            hashes.append(contexts[longer])
+            new.append(longer)
+            place.append(np.nonzero(longer)[1] + a)
+        self.of = np.zeros((_K, n), np.int32)
+        self.context, self.symbol = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if not n:
+            return
+        hashes, place = np.concatenate(hashes), np.concatenate(place)
+        codes, names = pd.factorize((hashes ^ mix(units.symbol[place].astype(np.uint64) + np.uint64(1))) * np.uint64(0xD6E8FEB86659FD93))
+        first = np.empty(len(names), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        context, symbol = hashes[first], units.symbol[place[first]]
+        order = np.lexsort((symbol, context))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        self.context, self.symbol, codes, at = context[order], symbol[order], rank[codes], 0
+        for a, longer in zip(range(0, n, step), new):
+            for k in range(_K):
+                here, m = longer[k], int(longer[k].sum())
+                self.of[k, a : a + len(here)] = self.of[k - 1, a : a + len(here)] if k else 0
+                self.of[k, a + np.flatnonzero(here)] = codes[at : at + m]
+                at += m
+        self.longer = np.concatenate(new, axis=1)
+
+    def times(self, units: Units, times: np.ndarray) -> np.ndarray:
+        """How often each pair occurs in training texts."""
+        out, often = np.zeros(len(self.symbol)), times[units.unit].astype(np.float64)
+        for k in range(_K if len(out) else 0):
+            out += np.bincount(self.of[k][self.longer[k]], often[self.longer[k]], len(out))
+        return out.astype(np.int64)
+
+
+def node_counts(code: Code, context: np.ndarray, symbol: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at each node on the way to each pair's symbol, one after the other, given the distinct pairs in the order of context and ``Code.leaf``."""
+    size = code.size[symbol]
+    start = np.cumsum(size) - size
+    zeros, ones = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
+    same = np.zeros(len(symbol), bool)  # whether the code so far is that of the pair before
+    same[1:] = context[1:] == context[:-1]
+    live = np.arange(len(symbol))
+    depth = 0
+    while len(live):
+        heads = np.flatnonzero(~same)
+        run, bit = np.cumsum(~same) - 1, code.bit[code.start[symbol[live]] + depth]
+        many = times[live]
+        one, every = np.add.reduceat(many * bit, heads), np.add.reduceat(many, heads)
+        at = start[live] + depth
+        ones[at], zeros[at] = one[run], (every - one)[run]
+        same[1:] &= bit[1:] == bit[:-1]
+        depth += 1
+        go = size[live] > depth
+        live, same = live[go], same[go]  # what ends here shares its code with none
+        if len(same):
+            same[0] = False
+    return zeros, ones
+
+
+class Mixer:
+    """Gated weights and the probability map, over the counts of pairs that ``take`` is given."""
+
+    def __init__(self, code: Code):
+        self.code = code
         self.weights = np.full((_K + 1, _GATES), 0.25, np.float32)
         self.weights[-1] = 0
         self.slopes = np.full((_K + 1, _GATES), 1e-4, np.float32)
         self.map = np.zeros(2 * 256 * _CELLS)
         self.seen = np.zeros(_GATES)
 
-    def freeze(self, zeros: np.ndarray, ones: np.ndarray) -> None:
-        """Takes the counts and turns them into log odds: a row for each order, or one for all of them."""
-        self.zeros, self.ones = ([x[k % len(x)] for k in range(_K)] for x in (zeros, ones))
-        odds = [_LOG[o] - _LOG[z] for z, o in zip(zeros, ones)]
-        self.odds = [odds[k % len(odds)] for k in range(_K)]
-        level = lambda k: _LEVEL[np.minimum(self.zeros[k].astype(np.int64) + self.ones[k], 65_535)]
-        self.level = np.stack([np.minimum(level(_K - 3) // 2, 3), 4 * level(_K - 1)]).astype(np.uint8)
+    def take(self, symbols: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+        """Takes the counts of the nodes on the way to each pair's symbol, and turns them into log odds."""
+        size = self.code.size[symbols]
+        self.start = (np.cumsum(size) - size).astype(np.int32)
+        self.zeros, self.ones = zeros, ones
+        self.odds = _LOG[ones] - _LOG[zeros]
+        self.level = _LEVEL[np.minimum(zeros.astype(np.int32) + ones, 65_535)].astype(np.uint8)
 
-    def locate(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """The decisions of some symbols: symbol, node and bit of each, and its cell under each context."""
+    def locate(self, symbols: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The decisions of some symbols: symbol, node and bit of each, and where its counts stand under each context."""
         code, size = self.code, self.code.size[symbols]
         owner = np.repeat(np.arange(len(symbols)), size)
         path = expand(code.start[symbols], size)
-        node = code.node[path]
-        salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        cells = [(contexts[k][owner] ^ salt) * np.uint64(0xD6E8FEB86659FD93) for k in range(_K)]
-        if self.bits < 64:
-            cells = [(x >> np.uint64(64 - self.bits)).astype(np.int64) for x in cells]
-        return owner, node, code.bit[path], cells
+        step = path - code.start[symbols][owner]
+        return owner, code.node[path], code.bit[path], [self.start[pairs[k]][owner] + step for k in range(_K)]
 
     def inputs(self, y: np.ndarray, kind: np.ndarray, cells: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """The log odds of the counts under each context, each without what the decision itself has added; and the gates."""
         x, gate = [], 28 * kind
         for k in range(_K):
-            one = np.maximum(np.take(self.ones[k], cells[k]).astype(np.int64) - y, 0)
-            zero = np.maximum(np.take(self.zeros[k], cells[k]).astype(np.int64) - ~y, 0)
+            one = np.maximum(np.take(self.ones, cells[k]).astype(np.int64) - y, 0)
+            zero = np.maximum(np.take(self.zeros, cells[k]).astype(np.int64) - ~y, 0)
             x.append(np.take(_LOG, one) - np.take(_LOG, zero))
             if k in (_K - 3, _K - 1):
                 level = np.take(_LEVEL, np.minimum(zero + one, 65_535))
@@ -229,8 +307,8 @@ class Mixer:
         return x, gate
 
     def frozen_inputs(self, kind: np.ndarray, cells: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        gate = 28 * kind + np.take(self.level[0], cells[_K - 3]) + np.take(self.level[1], cells[_K - 1])
-        return [np.take(self.odds[k], cells[k]) for k in range(_K)], gate
+        gate = 28 * kind + np.minimum(np.take(self.level, cells[_K - 3]) // 2, 3) + 4 * np.take(self.level, cells[_K - 1])
+        return [np.take(self.odds, cells[k]) for k in range(_K)], gate
 
     def predict(self, node: np.ndarray, y: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mixed probability, place in the map, and the log probability of each decision after refinement."""
@@ -244,48 +322,22 @@ class Mixer:
         final = np.clip((p + (one + 16 * p) / (zero + one + 16)) / 2, 1e-6, 1 - 1e-6)
         return p, spot, np.log(np.where(y, final, 1 - final))
 
-    def gather(self, units: Units, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct cells of the units' decisions, in order, and how often a zero and a one came there. ``times``: of each unit."""
-        parts = []
-        for a in range(0, len(units.at), 4 * BLOCK):
-            b = min(a + 4 * BLOCK, len(units.at))
-            contexts, longer = units.contexts(a, b)
-            owner, _, y, cells = self.locate(contexts, units.symbol[a:b])
-            often, new = times[units.unit[a:b]][owner].astype(np.float64), [x[owner] for x in longer]
-            codes, names = pd.factorize(np.concatenate([x[n] for x, n in zip(cells, new)]))
-            parts.append((names, *(np.bincount(codes, np.concatenate([w[n] for n in new]), len(names)) for w in (often * ~y, often * y))))
-        if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        names, codes = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        zeros, ones = (np.bincount(codes, np.concatenate([p[k] for p in parts]), len(names)).astype(np.int64) for k in (1, 2))
-        return names, zeros, ones
-
-    def places(self, units: Units) -> pd.Index:
-        """Where the counts of each cell stand among those that ``gather`` found."""
-        parts = []
-        for a in range(0, len(units.at), 4 * BLOCK):
-            b = min(a + 4 * BLOCK, len(units.at))
-            contexts, longer = units.contexts(a, b)
-            owner, _, _, cells = self.locate(contexts, units.symbol[a:b])
-            parts.append(pd.unique(np.concatenate([x[n[owner]] for x, n in zip(cells, longer)])))
-        return pd.Index(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
-
-    def _blocks(self, units: Units, places: pd.Index) -> Iterator[tuple]:
+    def _blocks(self, units: Units, pairs: Pairs) -> Iterator[tuple]:
         for a in range(0, len(units.at), BLOCK):
             b = min(a + BLOCK, len(units.at))
-            owner, node, y, cells = self.locate(units.contexts(a, b)[0], units.symbol[a:b])
-            yield units.unit[a:b][owner], units.kind[a:b][owner], node, y, places.get_indexer(np.concatenate(cells)).reshape(_K, -1)
+            owner, node, y, cells = self.locate(units.symbol[a:b], pairs.of[:, a:b])
+            yield units.unit[a:b][owner], units.kind[a:b][owner], node, y, cells
 
-    def learn(self, units: Units, times: np.ndarray, places: pd.Index) -> float:
+    def learn(self, units: Units, times: np.ndarray, pairs: Pairs) -> float:
         """Block by block: predict every decision by the counts without itself, and step against the cost.
 
         ``times`` says how often each unit occurs in training texts; every occurrence weighs alike. Returns the cost in nats.
         """
         cost = 0.0
-        for unit, kind, node, y, cells in self._blocks(units, places):
+        for unit, kind, node, y, cells in self._blocks(units, pairs):
             often = times[unit].astype(np.float64)
-            used = often > 0
-            often, kind, node, y, cells = often[used], kind[used], node[used], y[used], cells[:, used]
+            used = np.flatnonzero(often)
+            often, kind, node, y, cells = often[used], kind[used], node[used], y[used], [x[used] for x in cells]
             x, gate = self.inputs(y, kind, cells)
             p, spot, log = self.predict(node, y, x, gate)
             cost -= float((log * often).sum())
@@ -299,10 +351,10 @@ class Mixer:
             self.map += np.bincount(spot + y, often, len(self.map))
         return cost
 
-    def costs(self, units: Units, places: pd.Index) -> np.ndarray:
+    def costs(self, units: Units, pairs: Pairs) -> np.ndarray:
         """log10 probability of each unit."""
         out = np.zeros(units.n)
-        for unit, kind, node, y, cells in self._blocks(units, places):
+        for unit, kind, node, y, cells in self._blocks(units, pairs):
             log = self.predict(node, y, *self.frozen_inputs(kind, cells))[-1]
             low = int(unit[0])
             part = np.bincount(unit - low, weights=log)
@@ -331,6 +383,23 @@ def edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    codes, names = pd.factorize(values)
+    order = np.argsort(names)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return names[order], rank[codes]
+
+
+def _packed(*batches: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 class Group:
     """The words of several slices, gathered until their distinct ones are worth evaluating together."""
 
@@ -355,10 +424,13 @@ class Group:
         starts, ends = (np.concatenate([getattr(w, x) + s for w, s in zip(self.words, shift)]) for x in ("starts", "ends"))
         head_row = np.concatenate((row, np.arange(begins[-1])))
         train = self.column("train").astype(bool)
-        heads, head_codes = np.unique(mix(np.concatenate((head, *(w.end_head for w in self.words))).astype(np.uint64)), return_inverse=True)
+        every = np.concatenate((head, *(w.end_head for w in self.words)))
+        heads, head_codes = distinct(mix(every.astype(np.uint64)))
         names = np.empty(len(heads), np.int64)
-        names[head_codes] = np.concatenate((head, *(w.end_head for w in self.words)))
-        bodies, first, body_codes = np.unique(token, return_index=True, return_inverse=True)
+        names[head_codes] = every
+        bodies, body_codes = distinct(token)
+        first = np.empty(len(bodies), np.int64)
+        first[body_codes] = np.arange(len(body_codes))
         return Parts(
             head_row, head_codes, body_codes, names, edges(heads, buckets), np.bincount(head_codes, train[head_row], len(heads)).astype(np.int64),
             bodies, starts[first], ends[first], edges(bodies, buckets), np.bincount(body_codes, train[row], len(bodies)).astype(np.int64),
@@ -369,11 +441,7 @@ class Group:
 
     def packed(self) -> bytes:
         """The rows with their texts, as they are read again by ``unpacked``."""
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, self.rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for rows in self.rows:
-                out.write_batch(rows)
-        return sink.getvalue().to_pybytes()
+        return _packed(*self.rows)
 
     @classmethod
     def unpacked(cls, data: bytes) -> Group:
@@ -407,16 +475,7 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int = GROUP_BYTES) -> Itera
 # --- learning: tokens to buckets, model to chunks ---------------------------------------------------------------------
 
 _LEARNED = "kind int, part long, a binary, b binary, c binary, d binary"
-TOKENS, UNITS, TEXTS = 0, 1, 2
-
-
-def _mark(table: bytes, n: int) -> bytes:
-    """What stands for a slice's table of documents in its rows: a digest and the number of documents."""
-    return hashlib.blake2b(table, digest_size=16).digest() + n.to_bytes(4, "little")
-
-
-def _count(mark: bytes) -> int:
-    return int.from_bytes(mark[16:], "little")
+UNITS, TEXTS = 1, 2
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -424,34 +483,11 @@ def _blob(*arrays: np.ndarray) -> bytes:
 
 
 def _map_learn(buckets: int):
-    def tokens(group: Group, name: bytes) -> Iterator[tuple]:
-        """Per bucket: distinct tokens, training occurrences, and for each token its documents with frequencies."""
-        ids = np.concatenate([r.column("id").fill_null(NO_ID).to_numpy() for r in group.rows])
-        keys = np.concatenate([r.column("key").to_numpy() for r in group.rows])
-        train = np.concatenate([r.column("train").to_numpy(zero_copy_only=False) for r in group.rows]).astype(bool)
-        begins = np.cumsum([0, *(len(r) for r in group.rows)])
-        token = np.concatenate([*(w.token for w in group.words), np.full(len(ids), _END_TOKEN)])
-        row = np.concatenate([*(w.row + b for w, b in zip(group.words, begins)), np.arange(len(ids))])
-        codes, names = pd.factorize(token)
-        bucket = (names >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        pair, counts = np.unique(rank[codes] * len(ids) + row, return_counts=True)
-        of, doc = pair // len(ids), pair % len(ids)
-        seen = np.bincount(of, weights=counts * train[doc], minlength=len(names)).astype(np.int64)
-        per = np.bincount(of, minlength=len(names))
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-        at = np.concatenate(([0], np.cumsum(per)))
-        table = _blob(ids, keys, np.bincount(row, minlength=len(ids)))
-        mark = _mark(table + name, len(ids))
-        yield TOKENS, -1 - int.from_bytes(mark[:4], "little") % buckets, b"", b"", table, mark
-        for b in range(buckets):
-            lo, hi = cut[b], cut[b + 1]
-            if lo < hi:
-                yield TOKENS, b, names[order[lo:hi]].tobytes(), _blob(seen[lo:hi].astype(np.int32), per[lo:hi].astype(np.int32)), _blob(doc[at[lo] : at[hi]].astype(np.int32), counts[at[lo] : at[hi]].astype(np.int32)), mark
-
-        yield TEXTS, int.from_bytes(mark[:4], "little") % buckets, group.packed(), b"", b"", mark
+    def rows_of(group: Group, name: bytes) -> Iterator[tuple]:
+        """The texts of the group, and per bucket its distinct heads and bodies with how often they occur in training rows."""
+        packed = group.packed()
+        mark = hashlib.blake2b(packed + name, digest_size=16).digest()
+        yield TEXTS, 0, packed, b"", b"", mark
         flat, own = np.concatenate([w.flat for w in group.words]), group.units(buckets)
         for b in range(buckets):
             heads, bodies = (slice(x[b], x[b + 1]) for x in (own.head_edges, own.body_edges))
@@ -463,7 +499,7 @@ def _map_learn(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         for k, group in enumerate(_groups(batches)):
-            rows = list(tokens(group, f"{context.partitionId() if context else 0} {k}".encode()))
+            rows = list(rows_of(group, f"{context.partitionId() if context else 0} {k}".encode()))
             for a in range(0, len(rows), 16):
                 yield _learned(rows[a : a + 16])
 
@@ -475,28 +511,12 @@ def _learned(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["kind", "part", "a", "b", "c", "d"])
 
 
-def _bucket(rows: list[tuple]) -> Iterator[tuple]:
-    """Adds up the counts of a bucket's tokens; gives each slice's documents their sums, and the numbers of tokens to the whole."""
-    names = [np.frombuffer(r[0], np.uint64) for r in rows]
-    pairs = [np.frombuffer(zlib.decompress(r[1]), np.int32).reshape(2, -1) for r in rows]
-    codes, every = pd.factorize(np.concatenate(names))
-    c = np.bincount(codes, weights=np.concatenate([p[0] for p in pairs]), minlength=len(every)).astype(np.int64)
-    logs, known, at = np.log10(c + 1.0), (c > 0).astype(np.int64), 0
-    for (_, _, docs, mark), name, (_, per) in zip(rows, names, pairs):
-        own = codes[at : at + len(name)]
-        at += len(name)
-        doc, times = np.frombuffer(zlib.decompress(docs), np.int32).reshape(2, -1)
-        n, of = _count(mark), np.repeat(own, per)
-        yield SUMS, 0, mark, np.bincount(doc, weights=times * logs[of], minlength=n).tobytes(), _blob(np.bincount(doc, weights=times * known[of], minlength=n).astype(np.int64))
-    yield TOTALS, 0, np.array([c.sum(), known.sum()], np.int64).tobytes(), b"", b""
-
-
 def _unite(part: int, rows: list[tuple]) -> Iterator[tuple]:
     """A bucket's distinct heads and bodies with how often they occur, and which of them each slice has."""
     heads, times, tokens, own_times, sizes, spelled = [], [], [], [], [], []
     for a, b, c, d in rows:
         own = np.frombuffer(zlib.decompress(a), np.int64).reshape(2, -1)
-        n = int.from_bytes(d[20:], "little")
+        n = int.from_bytes(d[16:], "little")
         body = np.frombuffer(zlib.decompress(c[: len(c) - n]), np.int64).reshape(2, -1)
         for held, x in zip((heads, times, tokens, own_times, sizes, spelled), (own[0], own[1], np.frombuffer(b, np.uint64), body[0], body[1], np.frombuffer(zlib.decompress(c[len(c) - n :]), np.uint8))):
             held.append(x)
@@ -507,10 +527,11 @@ def _unite(part: int, rows: list[tuple]) -> Iterator[tuple]:
     size, first = np.concatenate(sizes), np.empty(len(kinds), np.int64)
     first[body_codes[::-1]] = np.arange(len(body_codes))[::-1]
     text = np.concatenate(spelled)[expand((np.cumsum(size) - size)[first], size[first])]
+    yield TOTALS, part, np.array([body_times.sum(), (body_times > 0).sum()], np.int64).tobytes(), b"", b""
     yield UNIQUE, part, _blob(names, head_times), _blob(size[first], body_times), zlib.compress(text.tobytes(), 1)
     at = below = 0
     for (_, _, _, d), x, y in zip(rows, heads, tokens):
-        yield LINKS, part, d[:20], _blob(codes[at : at + len(x)].astype(np.int32)), _blob(body_codes[below : below + len(y)].astype(np.int32))
+        yield LINKS, part, d[:16], _blob(codes[at : at + len(x)].astype(np.int32)), _blob(body_codes[below : below + len(y)].astype(np.int32))
         at, below = at + len(x), below + len(y)
 
 
@@ -523,48 +544,21 @@ def _units(a: bytes, b: bytes, c: bytes) -> tuple[Units, np.ndarray, int]:
 
 
 _MERGED = "kind int, part long, a binary, b binary, c binary"
-SUMS, TOTALS, UNIQUE, LINKS, TEXT = 0, 1, 2, 3, 4
+TOTALS, UNIQUE, LINKS = 1, 2, 3
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[int, int], list[tuple]] = {}
+    held: dict[int, list[tuple]] = {}
     for batch in batches:
-        for kind, part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "a", "b", "c", "d"))):
-            held.setdefault((kind, part), []).append(tuple(blobs))
-    for kind, part in list(held):
-        rows = held.pop((kind, part))
-        if kind == TOKENS and part < 0:
-            out = [(SUMS, 0, row[3], b"", row[2]) for row in rows]
-        elif kind == TOKENS:
-            out = _bucket(rows)
-        elif kind == UNITS:
-            out = _unite(part, rows)
-        else:
-            out = [(TEXT, part, row[3], row[0], b"") for row in rows]
-        out = list(out)
+        for part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "c", "d"))):
+            held.setdefault(part, []).append(tuple(blobs))
+    for part in list(held):
+        out = list(_unite(part, held.pop(part)))
         for a in range(0, len(out), 64):
             kinds, parts, *blobs = zip(*out[a : a + 64])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["kind", "part", "a", "b", "c"])
 
 
-def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document of a slice the sums over all buckets."""
-    held: dict[bytes, list[np.ndarray]] = {}
-    tables: dict[bytes, bytes] = {}
-    for batch in batches:
-        for mark, logs, other in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "c"))):
-            if not logs and _count(mark):
-                tables[mark] = other
-                continue
-            if mark not in held:
-                held[mark] = [np.zeros(_count(mark)), np.zeros(_count(mark), np.int64)]
-            held[mark][0] += np.frombuffer(logs, np.float64)
-            held[mark][1] += np.frombuffer(zlib.decompress(other), np.int64)
-    for mark, (logs, known) in held.items():
-        ids, keys, n = np.frombuffer(zlib.decompress(tables[mark]), np.int64).reshape(3, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(n), pa.array(known), pa.array(logs)], ["id", "key", "n_tokens", "n_known", "logs"])
-
-
 # --- counts of contexts: out to buckets, back to the units, and into weights ----------------------------------------------
 
 _COUNTED = "part long, source long, a binary, b binary, c binary"
@@ -577,41 +571,62 @@ def _counted(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _send(code: Code, buckets: int):
-    """For each bucket of cells: those of a bucket of units, with their zeros and ones."""
+    """For each bucket of contexts: those of a bucket of units, with the symbols that follow them and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(code)
         for batch in batches:
             for source, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "c"))):
                 units, times, _ = _units(*blobs)
-                cells, zeros, ones = mixer.gather(units, times)
-                cut = edges(cells, buckets)
+                pairs = Pairs(units)
+                often = pairs.times(units, times)
+                cut = edges(pairs.context, buckets)
                 for q in range(buckets):
                     lo, hi = cut[q], cut[q + 1]
                     if lo < hi:
-                        yield _counted([(q, source, cells[lo:hi].tobytes(), _blob(zeros[lo:hi], ones[lo:hi]), b"")])
+                        context = pairs.context[lo:hi]
+                        new = np.append(True, context[1:] != context[:-1])
+                        per = np.diff(np.append(np.flatnonzero(new), hi - lo)).astype(np.uint16)  # 257 symbols at most
+                        yield _counted([(q, source, context[new].tobytes(), _blob(per), _blob(often[lo:hi], pairs.symbol[lo:hi].astype(np.uint16)))])
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the counts of a bucket's cells, and returns them to the buckets of units that asked."""
-    held: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "source", "a", "b"))):
-            held.setdefault(part, []).append(tuple(row))
-    for part in list(held):
-        rows = held.pop(part)
-        codes, names = pd.factorize(np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows]))
-        pairs = [np.frombuffer(zlib.decompress(r[2]), np.int64).reshape(2, -1) for r in rows]
-        zeros, ones = (np.bincount(codes, np.concatenate([p[k] for p in pairs]), len(names)) for k in (0, 1))
+def _add_up(code: Code):
+    """Adds up the counts of a bucket's pairs, and returns the counts of the nodes on their ways to the buckets of units that asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "source", "a", "b", "c"))):
+                held.setdefault(part, []).append(tuple(row))
+        for part in list(held):
+            yield from settle(part, held.pop(part))
+
+    def settle(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        contexts, symbols, times = [], [], []
+        for _, a, b, c in rows:
+            contexts.append(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(zlib.decompress(b), np.uint16)))
+            data, n = zlib.decompress(c), len(contexts[-1])
+            times.append(np.frombuffer(data, np.int64, n))
+            symbols.append(np.frombuffer(data, np.uint16, n, 8 * n).astype(np.int64))
+        sources, sizes = [r[0] for r in rows], [len(x) for x in contexts]
+        del rows
+        which, names = pd.factorize(np.concatenate(contexts))
+        symbols = np.concatenate(symbols)
+        codes, pairs = distinct(which * 257 + code.leaf[symbols])[::-1]
+        context, symbol = names[pairs // 257], code.symbol_at[pairs % 257]
+        zeros, ones = node_counts(code, context, symbol, np.bincount(codes, np.concatenate(times), len(pairs)).astype(np.int64))
         scale = np.maximum(1, np.maximum(zeros, ones) / 65_535)  # both counts go into 16 bits; large ones keep their ratio
         zeros, ones = ((x / scale).astype(np.uint16) for x in (zeros, ones))
-        at = 0
-        for source, cells, _ in rows:
-            own = codes[at : at + len(cells) // 8]
-            at += len(own)
-            yield _counted([(source, part, _blob(zeros[own]), _blob(ones[own]), b"")])
+        size = code.size[symbol]
+        start, at = np.cumsum(size) - size, 0
+        for source, n in zip(sources, sizes):
+            own = codes[at : at + n]
+            at += n
+            cells = expand(start[own], size[own])
+            yield _counted([(source, part, _blob(zeros[cells]), _blob(ones[cells]), b"")])
+
+    return run
 
 
 def _fit(code: Code):
@@ -630,8 +645,9 @@ def _fit(code: Code):
             counts = [x for _, x in sorted(held.pop(part, {}).items())]
             zeros, ones = (b"".join(zlib.decompress(x[k]) for x in counts) for k in (0, 1))
             if times.any():
-                mixer.freeze(*(np.frombuffer(x, np.uint16)[None] for x in (zeros, ones)))
-                mixer.learn(units, times, mixer.places(units))
+                pairs = Pairs(units)
+                mixer.take(pairs.symbol, *(np.frombuffer(x, np.uint16) for x in (zeros, ones)))
+                mixer.learn(units, times, pairs)
             yield _learned([(ODDS, part, *blobs, zlib.compress(zeros + ones, 1))])
         if mixer.seen.any():
             yield _learned([(WEIGHTS, 0, (mixer.weights.astype(np.float64) * mixer.seen).tobytes(), mixer.seen.tobytes(), b"", b""), (MAP, 0, mixer.map.tobytes(), b"", b"", b"")])
@@ -649,11 +665,11 @@ def _sum_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _learned([(kind, 0, a.tobytes(), b.tobytes(), b"", b"")])
 
 
-_PRICED = "mark binary, part long, a binary, b binary"
+_PRICED = "mark binary, part long, a binary, b binary, c binary"
 
 
 def _price(model):
-    """The costs of each slice's units in a bucket."""
+    """The costs of each group's units in a bucket, and how often its words occur in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, held, links = model.value, {}, {}
@@ -665,12 +681,14 @@ def _price(model):
                     held[part] = blobs
         for part in list(held):
             *blobs, counts = held.pop(part)
-            units, _, n = _units(*blobs)
-            mixer.freeze(*(x[None] for x in np.frombuffer(zlib.decompress(counts), np.uint16).reshape(2, -1)))
-            cost = mixer.costs(units, mixer.places(units)).astype(np.float32)
+            units, times, n = _units(*blobs)
+            pairs = Pairs(units)
+            mixer.take(pairs.symbol, *np.frombuffer(zlib.decompress(counts), np.uint16).reshape(2, -1))
+            cost = mixer.costs(units, pairs).astype(np.float32)
             for mark, heads, bodies in links.pop(part, []):
                 a, b = (np.frombuffer(zlib.decompress(x), np.int32) for x in (heads, bodies))
-                yield pa.RecordBatch.from_arrays([pa.array([mark], pa.binary()), pa.array([part]), pa.array([cost[a].tobytes()], pa.binary()), pa.array([cost[n + b].tobytes()], pa.binary())], ["mark", "part", "a", "b"])
+                blobs = cost[a].tobytes(), cost[n + b].tobytes(), _blob(times[n + b])
+                yield pa.RecordBatch.from_arrays([pa.array([mark], pa.binary()), pa.array([part]), *(pa.array([x], pa.binary()) for x in blobs)], ["mark", "part", "a", "b", "c"])
 
     return run
 
@@ -678,19 +696,24 @@ def _price(model):
 _SPELLED = "bucket long, a binary, b binary, c binary, d binary"
 
 
-def _spell(buckets: int):
-    """The cost of each document's words (bucket -1), and per bucket contexts, phrases, and the documents that hold them with the phrase's cost."""
+def _spell(buckets: int, ends: int):
+    """What each document costs by its words, and its tokens (bucket -1); and per bucket contexts, phrases, and the documents that hold them with the phrase's cost."""
 
-    def rows_of(mark: bytes, group: Group, costs: list[tuple[bytes, bytes]]) -> Iterator[tuple]:
+    def rows_of(mark: bytes, group: Group, costs: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple]:
         own = group.units(buckets)
         head_cost, body_cost = (np.frombuffer(b"".join(x[k] for x in costs), np.float32).astype(np.float64) for k in (0, 1))
-        ids = np.concatenate([r.column("id").fill_null(NO_ID).to_numpy() for r in group.rows])
-        keys, sizes = group.column("key"), group.column("n_bytes")
+        known = np.frombuffer(b"".join(zlib.decompress(x[2]) for x in costs), np.int64)[own.body_codes]
         train = group.column("train").astype(bool)
-        n, words = len(ids), len(own.body_codes)
+        n, words = len(train), len(own.body_codes)
         spelled = head_cost[own.head_codes]
         spelled[:words] += body_cost[own.body_codes]
-        yield -1, mark, _blob(ids, keys, sizes), np.bincount(own.head_row, weights=spelled, minlength=n).tobytes(), b""
+        row = own.head_row[:words]
+        sums = (
+            np.bincount(row, minlength=n) + 1, np.bincount(row, known > 0, n).astype(np.int64) + (ends > 0),
+            np.bincount(row, np.log10(known + 1.0), n) + np.log10(ends + 1.0), np.bincount(own.head_row, spelled, n),
+        )
+        table = [pa.concat_arrays([r.column(c) for r in group.rows]) for c in ("id", "n_bytes")]
+        yield -1, mark, _packed(pa.RecordBatch.from_arrays([*table, *map(pa.array, sums)], ["own", "n_bytes", "n_tokens", "n_known", "logs", "score"])), b"", b""
         row, context, phrase, begin, upto, to_end = group.phrases()
         sums = np.concatenate(([0], np.cumsum(spelled[:words])))
         gain = sums[upto] - sums[begin] + np.where(to_end, spelled[words + row], 0)
@@ -713,11 +736,11 @@ def _spell(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, costs = {}, {}
         for batch in batches:
-            for mark, part, a, b in zip(*(batch.column(c).to_pylist() for c in ("mark", "part", "a", "b"))):
+            for mark, part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("mark", "part", "a", "b", "c"))):
                 if part < 0:
-                    texts[mark] = a
+                    texts[mark] = blobs[0]
                 else:
-                    costs.setdefault(mark, {})[part] = (a, b)
+                    costs.setdefault(mark, {})[part] = tuple(blobs)
         for mark in list(texts):
             rows = list(rows_of(mark, Group.unpacked(texts.pop(mark)), [x for _, x in sorted(costs.pop(mark).items())]))
             for a in range(0, len(rows), 16):
@@ -727,8 +750,8 @@ def _spell(buckets: int):
     return run
 
 
-def _decide(rows: list[tuple]) -> Iterator[tuple[bytes, np.ndarray]]:
-    """For each slice's documents what the decisions on phrases change: the decision's log odds instead of the phrase's cost, or on top of it."""
+def _decide(rows: list[tuple]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """For the documents of each group that hold one of these phrases what the decisions on phrases change: the decision's log odds instead of the phrase's cost, or on top of it."""
     context, phrase = (np.concatenate([np.frombuffer(r[k], np.uint64) for r in rows]) for k in (0, 1))
     data = [(zlib.decompress(r[2]), len(r[0]) // 8) for r in rows]
     times = np.concatenate([np.frombuffer(d, np.int32, n) for d, n in data]).astype(np.int64)
@@ -759,62 +782,72 @@ def _decide(rows: list[tuple]) -> Iterator[tuple[bytes, np.ndarray]]:
         total, hits = every[here] - own, most[here] - own * came
         p = (hits + 0.4) / (total + 1.2)
         change = np.where(total > 0, np.where(came, np.log10(p) - gain, np.log10(1 - p)), 0.0)
-        yield mark, np.bincount(doc >> 1, weights=change, minlength=_count(mark))
+        at_doc, inverse = distinct(doc >> 1)
+        yield mark, at_doc.astype(np.int32), np.bincount(inverse, change, len(at_doc))
+
+
+_SETTLED = "mark binary, docs binary, change binary, table binary"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[tuple]] = {}
-    named = ["mark", "sums", "table"]
+    row = lambda *blobs: pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["mark", "docs", "change", "table"])
     for batch in batches:
         for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d"))):
             if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([blobs[k]], pa.binary()) for k in (0, 2, 1)], named)
+                yield row(blobs[0], None, None, blobs[1])
             else:
                 held.setdefault(bucket, []).append(tuple(blobs))
     for bucket in list(held):
-        for mark, change in _decide(held.pop(bucket)):
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (mark, change.tobytes(), None)], named)
+        for mark, docs, change in _decide(held.pop(bucket)):
+            yield row(mark, docs.tobytes(), zlib.compress(change.tobytes(), 1), None)
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, np.ndarray] = {}
+    """Per document of a group its sums, with all changes."""
     tables: dict[bytes, bytes] = {}
+    held: dict[bytes, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
-        for mark, sums, table in zip(*(batch.column(c).to_pylist() for c in ("mark", "sums", "table"))):
-            own = np.frombuffer(sums, np.float64)
-            held[mark] = held[mark] + own if mark in held else own
-            if table is not None:
+        for mark, docs, change, table in zip(*(batch.column(c).to_pylist() for c in ("mark", "docs", "change", "table"))):
+            if table is None:
+                held.setdefault(mark, []).append((docs, change))
+            else:
                 tables[mark] = table
-    for mark, total in held.items():
-        ids, keys, sizes = np.frombuffer(zlib.decompress(tables[mark]), np.int64).reshape(3, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(sizes), pa.array(total)], ["own", "key", "n_bytes", "score"])
+    for mark in list(tables):
+        (table,) = pa.ipc.open_stream(tables.pop(mark))
+        total = table.column("score").to_numpy().copy()
+        for docs, change in held.pop(mark, []):
+            total[np.frombuffer(docs, np.int32)] += np.frombuffer(zlib.decompress(change), np.float64)
+        yield pa.RecordBatch.from_arrays([*table.columns[:-1], pa.array(total)], table.schema.names)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS, held: int = HELD) -> DataFrame:
     """Per document: its id, ``train`` (learned from), ``n_bytes``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10) and ``bits_per_byte``."""
     spark = docs.sparkSession
     rows = clean(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("key"), F.coalesce(training_row(F.col("id"), modulus, held), F.lit(False)).alias("train"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    train = lambda: F.coalesce(training_row(F.col("id"), modulus, held), F.lit(False))
+    rows = rows.select("id", train().alias("train"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     counts = np.zeros(257, np.int64)
     for symbol, n in rows.filter("train").select("text").mapInArrow(tidy(symbol_counts), "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect():  # 257 rows
         counts[symbol] = n
-    total = int(counts.sum())
+    total, ends = int(counts.sum()), int(counts[END])
     code = Code(counts)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 24_000_000)
-    buckets = tasks
-    learned = rows.mapInArrow(tidy(_map_learn(buckets)), _LEARNED)
-    merged = stored(learned.repartition(tasks, "kind", "part").mapInArrow(tidy(_merge), _MERGED), "mixing")
+    buckets = min(tasks, BUCKETS)
+    learned = stored(rows.mapInArrow(tidy(_map_learn(buckets)), _LEARNED), "mixing_texts", "kind")
+    merged = stored(learned.filter(F.col("kind") == UNITS).repartition(tasks, "part").mapInArrow(tidy(_merge), _MERGED), "mixing", "kind")
     of = lambda kind: merged.filter(F.col("kind") == kind)
-    train_tokens = vocabulary = 0
+    train_tokens, vocabulary = ends, int(ends > 0)
     for (a,) in of(TOTALS).select("a").toLocalIterator():  # one row for each bucket
         n, v = np.frombuffer(a, np.int64)
         train_tokens, vocabulary = train_tokens + int(n), vocabulary + int(v)
     unique = of(UNIQUE).select("part", F.lit(-1).cast("long").alias("source"), "a", "b", "c")
-    counted = unique.mapInArrow(tidy(_send(code, buckets)), _COUNTED).repartition(tasks, "part").mapInArrow(tidy(_add_up), _COUNTED)
-    fitted = stored(counted.union(unique).repartition(tasks, "part").mapInArrow(tidy(_fit(code)), _LEARNED), "mixing_fit")
+    counted = unique.mapInArrow(tidy(_send(code, buckets)), _COUNTED).repartition(tasks, "part").mapInArrow(tidy(_add_up(code)), _COUNTED)
+    fitted = stored(counted.union(unique).repartition(tasks, "part").mapInArrow(tidy(_fit(code)), _LEARNED), "mixing_fit", "kind")
     mixer = Mixer(code)
-    for kind, a, b in fitted.filter(F.col("kind") > ODDS).repartition(2, "kind").mapInArrow(tidy(_sum_fits), _LEARNED).select("kind", "a", "b").collect():  # 2 rows
+    fits = fitted.filter(F.col("kind") > ODDS).coalesce(16).mapInArrow(tidy(_sum_fits), _LEARNED)
+    for kind, a, b in fits.repartition(2, "kind").mapInArrow(tidy(_sum_fits), _LEARNED).select("kind", "a", "b").collect():  # 2 rows
         if kind == WEIGHTS:
             seen = np.frombuffer(b, np.float64)
             mixer.weights = np.where(seen > 0, np.frombuffer(a, np.float64).reshape(-1, _GATES) / np.maximum(seen, 1), mixer.weights).astype(np.float32)
@@ -822,15 +855,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
             mixer.map = np.frombuffer(a, np.float64).copy()
     links = of(LINKS).select("part", "a", "b", "c", F.lit(None).cast("binary").alias("d"))
     priced = fitted.filter(F.col("kind") == ODDS).select("part", "a", "b", "c", "d").union(links).repartition(tasks, "part").mapInArrow(tidy(_price(spark.sparkContext.broadcast(mixer))), _PRICED)
-    texts = of(TEXT).select(F.col("a").alias("mark"), F.lit(-1).cast("long").alias("part"), F.col("b").alias("a"), F.lit(None).cast("binary").alias("b"))
-    spelled = priced.union(texts).repartition(tasks, "mark").mapInArrow(tidy(_spell(buckets)), _SPELLED)
-    settled = spelled.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(tidy(_settle), "mark binary, sums binary, table binary")
-    scored = settled.repartition(tasks, "mark").mapInArrow(tidy(_total), "own long, key long, n_bytes long, score double")
-    sums = merged.filter(F.col("kind") == SUMS).select("a", "b", "c").repartition(tasks, "a").mapInArrow(tidy(_sum_up), "id long, key long, n_tokens long, n_known long, logs double")
-    sums = sums.groupBy("id", "key").agg(*(F.first(c).alias(c) for c in ("n_tokens", "n_known", "logs")))
+    nothing = F.lit(None).cast("binary")
+    texts = learned.filter(F.col("kind") == TEXTS).select(F.col("d").alias("mark"), F.lit(-1).cast("long").alias("part"), "a", nothing.alias("b"), nothing.alias("c"))
+    spelled = priced.union(texts).repartition(tasks, "mark").mapInArrow(tidy(_spell(buckets, ends)), _SPELLED)
+    settled = spelled.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket"))).mapInArrow(tidy(_settle), _SETTLED)
+    out = settled.repartition(tasks, "mark").mapInArrow(tidy(_total), "own long, n_bytes long, n_tokens long, n_known long, logs double, score double")
     each = float(np.log10(train_tokens + vocabulary + 1))
-    out = scored.join(sums.withColumnRenamed("id", "own"), ["own", "key"]).withColumn("id", F.when(F.col("own") != NO_ID, F.col("own")))
+    out = out.withColumnRenamed("own", "id")
     return out.select(
-        F.col("id").alias(id_col), F.coalesce(training_row(F.col("id"), modulus, held), F.lit(False)).alias("train"), "n_bytes", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
+        F.col("id").alias(id_col), train().alias("train"), "n_bytes", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score", F.when(F.col("n_bytes") > 0, -F.col("score") / (F.col("n_bytes") * float(np.log10(2)))).alias("bits_per_byte"),
     )

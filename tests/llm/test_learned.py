@@ -36,13 +36,15 @@ def test_mixing_base_is_exact(docs, texts, none):
 def test_mixing_probabilities_sum_to_one():
     """The costs of all symbols at a place: a code of binary decisions leaves nothing over."""
     code = lm_mixing.Code(np.arange(257))
-    mixer = lm_mixing.Mixer(code, 14)
+    mixer = lm_mixing.Mixer(code)
     rng = np.random.default_rng(1)
     mixer.weights += rng.normal(0, 0.3, mixer.weights.shape).astype(np.float32)
     mixer.map += rng.integers(0, 50, mixer.map.shape)
-    mixer.freeze(rng.integers(0, 90, (5, 1 << 14)).astype(np.uint16), rng.integers(0, 90, (5, 1 << 14)).astype(np.uint16))
-    contexts = np.repeat(rng.integers(0, 2**62, (5, 1)).astype(np.uint64), 257, axis=1)
-    owner, node, y, cells = mixer.locate(contexts, np.arange(257))
+    symbol = np.tile(code.symbol_at, 5)
+    zeros, ones = lm_mixing.node_counts(code, np.repeat(np.arange(5), 257), symbol, rng.integers(0, 90, 5 * 257))
+    mixer.take(symbol, zeros.astype(np.uint16), ones.astype(np.uint16))
+    pairs = np.arange(5)[:, None] * 257 + code.leaf[None, :]
+    owner, node, y, cells = mixer.locate(np.arange(257), pairs)
     log = mixer.predict(node, y, *mixer.frozen_inputs(np.zeros(len(node), np.int64), cells))[-1]
     assert np.exp(np.bincount(owner, log)).sum() == pytest.approx(1, abs=1e-5)
 
@@ -61,26 +63,48 @@ def test_mixing_learns(spark):
 
 
 def test_mixing_counts_every_context():
-    """More contexts than a table of 2**20 cells tells apart: each is counted by itself, and found again."""
+    """The counts of each decision under each context, as the buckets of contexts add them up, against counting one by one."""
     rng = np.random.default_rng(7)
-    flat = rng.integers(97, 123, 12_000 * 12).astype(np.uint8)
-    starts = np.arange(12_000) * 12
+    words = 3_000
+    flat = rng.integers(97, 105, words * 8).astype(np.uint8)
+    starts = np.arange(words) * 8
+    heads = (rng.integers(97, 100, words) * 2**24 + rng.integers(0, 3, words)) * 2**17 + rng.integers(97, 100, words) * 256 + rng.integers(97, 100, words)
+    heads[:50] = (heads[:50] >> 17 << 17) + lm_mixing.END * 256
     code = lm_mixing.Code(np.bincount(flat, minlength=257))
-    units = lm_mixing.Units(np.zeros(0, np.int64), flat, starts, starts + 12)
-    times = rng.integers(0, 4, 12_000)
+    units = lm_mixing.Units(heads, flat, starts, starts + 8)
+    times = rng.integers(0, 4, 2 * words)
+    coded = []  # text, places that are coded, their symbols, and how often
+    for k, head in enumerate(heads.tolist()):
+        text = bytes([head >> 41 & 255, head >> 33 & 255, head >> 25 & 255, head >> 17 & 255, 32, head >> 8 & 255, head & 255])
+        coded.append((text, [5] if head >> 8 & 511 == lm_mixing.END else [5, 6], lm_mixing.END if head >> 8 & 511 == lm_mixing.END else None, times[k]))
+    for k in range(words):
+        text = b" " + flat[8 * k : 8 * k + 8].tobytes() + b" "
+        coded.append((text, range(3, 10), None, times[words + k]))
     expected: dict[tuple[bytes, int], list[int]] = {}
-    for k, n in enumerate(times.tolist()):
-        text = b" " + flat[12 * k : 12 * k + 12].tobytes() + b" "
-        for at in range(3, 14):
-            size, start = code.size[text[at]], code.start[text[at]]
-            for context in {text[max(at - o, 0) : at] for o in lm_mixing.ORDERS}:
-                for node, bit in zip(code.node[start : start + size].tolist(), code.bit[start : start + size].tolist()):
+    seen = []
+    for text, places, end, n in coded:
+        for at in places:
+            symbol = text[at] if end is None else end
+            path = slice(code.start[symbol], code.start[symbol] + code.size[symbol])
+            contexts = [text[max(at - o, 0) : at] for o in lm_mixing.ORDERS]
+            seen.append((contexts, path))
+            for context in set(contexts):
+                for node, bit in zip(code.node[path].tolist(), code.bit[path].tolist()):
                     expected.setdefault((context, node), [0, 0])[bit] += n
-    mixer = lm_mixing.Mixer(code)
-    cells, zeros, ones = mixer.gather(units, times)
-    assert len(cells) == len(expected) > 1 << 20
-    assert Counter(zip(zeros.tolist(), ones.tolist())) == Counter(map(tuple, expected.values()))
-    assert (mixer.places(units) == cells).all()
+    pairs = lm_mixing.Pairs(units)
+    often = pairs.times(units, times)
+    order = np.lexsort((code.leaf[pairs.symbol], pairs.context))
+    found = lm_mixing.node_counts(code, pairs.context[order], pairs.symbol[order], often[order])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    size = code.size[pairs.symbol[order]]
+    start = np.cumsum(size) - size
+    assert len(seen) == len(units.at)
+    for i, (contexts, path) in enumerate(seen):
+        for k, context in enumerate(contexts):
+            at = start[rank[pairs.of[k, i]]]
+            want = [expected[context, node] for node in code.node[path].tolist()]
+            assert [[z, o] for z, o in zip(*(x[at : at + len(want)].tolist() for x in found))] == want
 
 
 def test_mixing_takes_equal_slices_apart(spark):
