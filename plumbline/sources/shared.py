@@ -35,14 +35,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{re.sub(r'[^\w.-]', '_', name)}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as a table in the shared folder and read again. The table goes with ``discard``, or when the application ends."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The frame written as a table in the shared folder and read again; ``by`` is a column by whose values the files are parted.
+
+    The table goes with ``discard``, or when the application ends.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
     if not _written:
         atexit.register(_clear)
     _written[path] = spark
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
