@@ -4,9 +4,11 @@ Every place where ``length`` bytes start is a window. A window's key is the smal
 in it, so equal windows have equal keys, and neighbouring windows mostly share theirs: a run of neighbours with one key
 is handled as one string (its content), about one run for every 18 bytes of text.
 
-1. Runs meet by key as packed hashes. A run whose whole content also stands in a smaller document is settled.
-   What remains of a key with several contents is asked for: each content only from the smallest document that has it.
-2. These documents send the contents asked for; contents meet by key. There the suffixes that start a window are sorted:
+1. Runs meet by key as packed hashes. A run whose whole content also stands in a smaller document is settled: the
+   contents are taken as equal when two independent hashes of them agree, a polynomial modulo 2**64 and one modulo a prime,
+   95 bits in all. These runs, mostly parts of copies, are not compared byte by byte. What remains of a key with several contents is asked for: each content only from the smallest document that has it.
+2. These documents send the contents asked for; contents meet by key. There the suffixes that start a window (but for windows whose
+   hash no other one has, which are equal to none) are sorted:
    by their first eight bytes, and beyond ties by a mergesort whose comparisons are logarithmic, as prefix polynomial
    hashes and binary search find the common extension of two suffixes. Neighbours that the hashes call equal are
    compared byte by byte, so a collision of hashes merges nothing. Each class of equal windows has a smallest
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import clean, expand, lists, mix, powers, prefix_hash, slices, span_hash, tidy
+from plumbline.llm.textkit import clean, expand, lists, mix, powers, prefix_hash, prime_hash, slices, span_hash, tidy
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose runs a task gathers before it packs them, and bytes of text per reducing task.
@@ -82,6 +84,10 @@ class Runs:
         per_row = np.bincount(self.row, minlength=len(offsets) - 1)
         self.ordinal = np.arange(len(heads)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
 
+    def checks(self) -> np.ndarray:
+        """The second hash of each run's content."""
+        return prime_hash(self.flat, self.start, self.start + self.size - 1 + self.length)
+
     def split(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The given runs cut into runs of equal second minimum: their starts, sizes and keys."""
         at = expand(self.start[which], self.size[which])
@@ -130,25 +136,25 @@ def _code(ordinal: np.ndarray, content: np.ndarray, what: int | np.ndarray) -> n
 def _map_runs(length: int, gram: int, buckets: int):
     """Packed runs per bucket; runs that have the content of a smaller document of the same task come as settled (bucket -1)."""
 
-    def flush(held: list[tuple[np.ndarray, ...]], batch_rows: list) -> Iterator[pa.RecordBatch]:
-        key, content, ids, ordinal = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((ids, content, key))
-        key, content, ids, ordinal = key[order], content[order], ids[order], ordinal[order]
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, content, check, ids, ordinal = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((ids, check, content, key))
+        key, content, check, ids, ordinal = key[order], content[order], check[order], ids[order], ordinal[order]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (check[1:] != check[:-1])
         least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else ids
         settled = ids > least
         if settled.any():
             codes = _code(ordinal[settled], content[settled], FULL)
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""]), pa.array([b""]), pa.array([_pack(ids[settled], codes)])], ["bucket", "keys", "contents", "places"])
-        key, content, ids, ordinal = key[~settled], content[~settled], ids[~settled], ordinal[~settled]
-        order = np.lexsort((ordinal, ids))
-        key, content, ids, ordinal = key[order], content[order], ids[order], ordinal[order]
+        left = np.flatnonzero(~settled)
+        order = left[np.lexsort((ordinal[left], ids[left]))]
+        key, content, check, ids, ordinal = key[order], content[order], check[order], ids[order], ordinal[order]
         order, names, begins = _by_bucket(key, buckets)
         rows = []
         for a, b in zip(begins[:-1], begins[1:]):
             at = order[a:b]
-            rows.append((key[at].astype(np.uint32).tobytes(), content[at].tobytes(), _pack(ids[at], ordinal[at])))
+            rows.append((key[at].astype(np.uint32).tobytes(), content[at].tobytes() + check[at].tobytes(), _pack(ids[at], ordinal[at])))
         for k in range(0, len(rows), 64):
             part = rows[k : k + 64]
             yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 64].astype(np.int32)), *(pa.array([r[j] for r in part], pa.binary()) for j in range(3))], ["bucket", "keys", "contents", "places"])
@@ -158,13 +164,13 @@ def _map_runs(length: int, gram: int, buckets: int):
         for batch in batches:
             for part, flat, offsets in slices(batch):
                 runs = Runs(flat, offsets, length, gram)
-                held.append((runs.key, runs.content, part.column("id").to_numpy()[runs.row], runs.ordinal))
+                held.append((runs.key, runs.content, runs.checks(), part.column("id").to_numpy()[runs.row], runs.ordinal))
                 size += len(flat)
                 if size >= FLUSH_BYTES:
-                    yield from flush(held, [])
+                    yield from flush(held)
                     held, size = [], 0
         if held:
-            yield from flush(held, [])
+            yield from flush(held)
 
     return run
 
@@ -178,24 +184,23 @@ def _meet_runs(hot: int):
                 if bucket < 0:
                     yield _codes(*_unpack(places, 2))
                 else:
-                    by_bucket.setdefault(bucket, []).append((np.frombuffer(keys, np.uint32), np.frombuffer(contents, np.uint64), *_unpack(places, 2)))
+                    by_bucket.setdefault(bucket, []).append((np.frombuffer(keys, np.uint32), np.frombuffer(contents, np.uint64, len(keys) // 4), np.frombuffer(contents, np.uint32, offset=2 * len(keys)), *_unpack(places, 2)))
         for bucket in list(by_bucket):
-            key, content, ids, ordinal = (np.concatenate(x) for x in zip(*by_bucket.pop(bucket)))
+            key, content, check, ids, ordinal = (np.concatenate(x) for x in zip(*by_bucket.pop(bucket)))
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
             shared = np.zeros(len(key), bool)
             shared[1:] = same
             shared[:-1] |= same
             order = order[shared]
-            key, content, ids, ordinal = key[order], content[order], ids[order], ordinal[order]
-            order = np.lexsort((ids, content, key))
-            key, content, ids, ordinal = key[order], content[order], ids[order], ordinal[order]
+            order = order[np.lexsort((ids[order], check[order], content[order], key[order]))]
+            key, content, check, ids, ordinal = key[order], content[order], check[order], ids[order], ordinal[order]
             if not len(key):
                 continue
             new_key = np.ones(len(key), bool)
             new_key[1:] = key[1:] != key[:-1]
             new = new_key.copy()
-            new[1:] |= content[1:] != content[:-1]
+            new[1:] |= (content[1:] != content[:-1]) | (check[1:] != check[:-1])
             least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
             full = ids > least
             heads = np.flatnonzero(new_key)
@@ -331,6 +336,16 @@ class SuffixOrder:
             live = live[count[live] > width]
         return at
 
+    def shared(self, at: np.ndarray) -> np.ndarray:
+        """Whether the hash of the suffix's ``length`` bytes occurs once more; where it does not, no other suffix is equal."""
+        whole = (self.prefix[at + self.length] - self.prefix[at]) * self.inverse[at]
+        order = np.argsort(whole)
+        same = whole[order][1:] == whole[order][:-1]
+        out = np.zeros(len(at), bool)
+        out[order[1:][same]] = True
+        out[order[:-1][same]] = True
+        return out
+
     def verified(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the suffixes are equal byte by byte; asked only where the hashes say so."""
         out = self.alike(a, b, self.length)
@@ -349,7 +364,7 @@ def lost_windows(flat: np.ndarray, starts: np.ndarray, windows: np.ndarray, ids:
     owner_of = np.full(len(flat) + 1, -1, np.int64)
     owner_of[at] = owner
     order = SuffixOrder(flat, length)
-    at = order.sort(at)
+    at = order.sort(at[order.shared(at)])
     same = np.zeros(len(at), bool)
     same[1:] = order.verified(at[:-1], at[1:])
     group = np.cumsum(~same) - 1

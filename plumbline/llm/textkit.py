@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import discard, shared_folder, stored  # noqa: F401  the operators' intermediate tables
+from plumbline.sources.shared import discard, discard_part, shared_folder, stored  # noqa: F401  the operators' intermediate tables
 
 BATCH_BYTES = 8 << 20
 #: Bytes of text that a worker holds unpacked at once; one longer text makes a slice of its own.
@@ -93,6 +93,32 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix), inverse=True)[starts] + (ends - starts).astype(np.uint64))
 
 
+#: The modulus of the second hash, and its base.
+PRIME, _PRIME_BASE = (1 << 31) - 1, 1_284_865_837
+PRIME_CODE = _RNG.integers(1, PRIME, 256, dtype=np.uint64)
+
+
+def prime_powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers of the second hash's base, or of its inverse, modulo ``PRIME``."""
+    key = "prime inverse" if inverse else "prime"
+    if len(have := _powers.get(key, np.ones(1, np.uint64))) < n:
+        size, step = max(n, 2 * SLICE_BYTES), pow(_PRIME_BASE, -1 if inverse else 1, PRIME)
+        have = np.ones(1, np.uint64)
+        while len(have) < size:
+            have = np.concatenate((have, have * np.uint64(pow(step, len(have), PRIME)) % np.uint64(PRIME)))
+        have = have[:size].copy()
+        if size <= 4 * SLICE_BYTES:
+            _powers[key] = have
+    return have[:n]
+
+
+def prime_hash(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each span of bytes a polynomial hash modulo ``PRIME`` (31 bits), independent of ``span_hash``: other codes, another base, a prime modulus."""
+    prefix = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(PRIME_CODE[flat] * prime_powers(len(flat)) % np.uint64(PRIME), out=prefix[1:])
+    return ((prefix[ends] - prefix[starts]) % np.uint64(PRIME) * prime_powers(len(flat) + 1, inverse=True)[starts] % np.uint64(PRIME)).astype(np.uint32)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads each 64-bit value over all its bits."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -8,9 +8,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from plumbline.llm import bpe, chosen_path, decontaminate, mpeg_audio, suffix_dedup, url_rules
+from plumbline.llm import bpe, chosen_path, decontaminate, mpeg_audio, suffix_dedup, textkit, url_rules
 
 
 def test_urls(spark, none):
@@ -91,6 +92,36 @@ def test_suffix_dedup(docs, texts, none, hot):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_settled_runs_need_both_hashes(monkeypatch):
+    """With a first hash that is the same for every content, the second one still tells contents apart."""
+    rng = random.Random(11)
+    shared, other = (bytes(rng.randrange(97, 123) for _ in range(n)) for n in (400, 200))
+    other = shared[:16] * 5 + other
+    data = [shared, shared + b"tail of the second", other]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([d.decode() for d in data])], ["id", "text"])
+
+    def settled():
+        out = []
+        for packed in suffix_dedup._map_runs(50, 16, 4)(iter([batch])):
+            for bucket, places in zip(packed.column("bucket").to_pylist(), packed.column("places").to_pylist()):
+                if bucket < 0:
+                    ids, codes = suffix_dedup._unpack(places, 2)
+                    out += list(zip(ids.tolist(), (codes >> 20).tolist()))
+        return sorted(out)
+
+    want = settled()
+    assert want and all(i == 2 for i, _ in want)
+    monkeypatch.setattr(suffix_dedup, "span_hash", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    assert settled() == want
+
+
+def test_prime_hash_is_a_hash_of_the_bytes():
+    flat = np.frombuffer(b"abcabcab" * 40, np.uint8)
+    starts = np.array([0, 3, 6, 0, 1])
+    got = textkit.prime_hash(flat, starts, starts + np.array([5, 5, 2, 2, 5]))
+    assert got[0] == got[1] and got[2] == got[3] and got[4] != got[0] and len(set(got.tolist())) == 3
+
+
 def test_suffix_order_sorts():
     rng = random.Random(1)
     text = "".join(rng.choice("ab") for _ in range(400)) + "a" * 300
@@ -128,6 +159,25 @@ def test_chosen_path_join(docs, texts, none, block):
     assert chosen_path.join(none).count() == 0
 
 
+def test_join_finds_pairs_at_the_threshold(spark):
+    """Pairs of texts with a Jaccard similarity of 0.8 to 0.85, found through shared paths in buckets that are split."""
+    rng, data, pairs = random.Random(12), [], []
+    while len(pairs) < 400:
+        words = [f"w{rng.randrange(50_000)}" for _ in range(120)]
+        other = list(words)
+        for at in rng.sample(range(120), 2 + len(pairs) % 2):
+            other[at] = f"v{rng.randrange(50_000)}"
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.87:
+            k = len(data)
+            data += [(k, " ".join(words)), (k + 1, " ".join(other))]
+            pairs.append((k, k + 1))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    rows = {r.doc_id: r for r in chosen_path.join(df, bucket=2).collect()}
+    found = sum(rows[a].class_id == rows[b].class_id == a and rows[a].n_links == 1 for a, b in pairs)
+    assert found >= 0.99 * len(pairs)
+
+
 def test_runs_reach_the_recall():
     rng, depth, similarity = random.Random(5), chosen_path.DEPTH, 0.8
 
