@@ -38,7 +38,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The frame written as a table in the shared folder and read again; ``by`` is a column by whose values the files are parted.
 
-    The table goes with ``discard``, or when the application ends.
+    The table goes with ``discard``, or when the application ends. The shuffles behind it are garbage once it is written; the driver's
+    JVM is asked to collect it, upon which Spark's cleaner deletes their files on the executors.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
@@ -46,6 +47,7 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         atexit.register(_clear)
     _written[path] = spark
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -58,6 +60,12 @@ def discard(*frames: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
+def discard_part(frame: DataFrame, part: str) -> None:
+    """Deletes the files of one value (as ``kind=1``) of a table that ``stored`` has parted, once nothing reads them any more."""
+    if (path := getattr(frame, "stored_at", None)) in _written:
+        _delete(_written[path], f"{path}/{part}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
