@@ -5,8 +5,8 @@ in it, so equal windows have equal keys, and neighbouring windows mostly share t
 is handled as one string (its content), about one run for every 18 bytes of text.
 
 1. Runs meet by key as packed hashes. A run whose whole content also stands in a smaller document is settled: the
-   contents are taken as equal when two independent hashes of them agree, a polynomial modulo 2**64 and one modulo a prime,
-   95 bits in all. These runs, mostly parts of copies, are not compared byte by byte. What remains of a key with several contents is asked for: each content only from the smallest document that has it.
+   contents are taken as equal when two independent hashes of them agree, a polynomial modulo 2**64 and 24 bits of one modulo a
+   prime. These runs, mostly parts of copies, are not compared byte by byte. What remains of a key with several contents is asked for: each content only from the smallest document that has it.
 2. These documents send the contents asked for; contents meet by key. There the suffixes that start a window (but for windows whose
    hash no other one has, which are equal to none) are sorted:
    by their first eight bytes, and beyond ties by a mergesort whose comparisons are logarithmic, as prefix polynomial
@@ -108,6 +108,17 @@ def _unpack(data: bytes, parts: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), np.int64).reshape(parts, -1), axis=1)
 
 
+def _three(x: np.ndarray) -> bytes:
+    """The lower three bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _unthree(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def _by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order that brings equal buckets together, the buckets that occur and where they begin (and end)."""
     bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -154,7 +165,7 @@ def _map_runs(length: int, gram: int, buckets: int):
         rows = []
         for a, b in zip(begins[:-1], begins[1:]):
             at = order[a:b]
-            rows.append((key[at].astype(np.uint32).tobytes(), content[at].tobytes() + check[at].tobytes(), _pack(ids[at], ordinal[at])))
+            rows.append((_three(key[at]), content[at].tobytes() + _three(check[at]), _pack(ids[at], ordinal[at])))
         for k in range(0, len(rows), 64):
             part = rows[k : k + 64]
             yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 64].astype(np.int32)), *(pa.array([r[j] for r in part], pa.binary()) for j in range(3))], ["bucket", "keys", "contents", "places"])
@@ -184,7 +195,7 @@ def _meet_runs(hot: int):
                 if bucket < 0:
                     yield _codes(*_unpack(places, 2))
                 else:
-                    by_bucket.setdefault(bucket, []).append((np.frombuffer(keys, np.uint32), np.frombuffer(contents, np.uint64, len(keys) // 4), np.frombuffer(contents, np.uint32, offset=2 * len(keys)), *_unpack(places, 2)))
+                    by_bucket.setdefault(bucket, []).append((_unthree(keys), np.frombuffer(contents, np.uint64, len(keys) // 3), _unthree(contents[len(keys) // 3 * 8 :]), *_unpack(places, 2)))
         for bucket in list(by_bucket):
             key, content, check, ids, ordinal = (np.concatenate(x) for x in zip(*by_bucket.pop(bucket)))
             order = np.argsort(key, kind="stable")
