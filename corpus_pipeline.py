@@ -13,6 +13,8 @@ from plumbline.llm import bpe, chosen_path, decontaminate, language_id, suffix_d
 from plumbline.llm.queries import table, tokenizer_path
 from plumbline.llm.textkit import shared_folder
 
+#: Benchmark items with a window in a document from which the document counts as contaminated.
+ITEMS = 1
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -39,9 +41,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two benchmark items or more go."""
+    """Documents with a window of any benchmark item (``WINDOW`` words in a row, or a whole shorter item) go."""
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter((F.size("items") >= 2) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(found.filter((F.size("items") >= ITEMS) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
