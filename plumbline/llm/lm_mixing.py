@@ -9,8 +9,8 @@ blank on, so that each distinct beginning and each distinct word of the corpus i
 
 The counts are kept for every context of the corpus, without a bound, and exactly. The distinct beginnings and words of each group of texts
 meet in hashed buckets, which add up how often each occurs in training documents. A bucket's distinct pairs of context and symbol meet in
-buckets by the 64-bit hash of the context. There the pairs of a context are put in the order of the symbols' codes, where the symbols below a
-node of the code are neighbours: the zeros and ones of every node are sums over neighbours, and go back to the buckets that asked. What is gathered at
+buckets by the 64-bit hash of the context, and all symbols of a context that several buckets have go back to them, with how often each follows it. In the
+order of the symbols' codes the symbols below a node of the code are neighbours: the zeros and ones of every node are sums over neighbours. What is gathered at
 the driver and broadcast are the weights and the map, whose size does not depend on the corpus.
 
 Learning is online: a task reads its distinct beginnings and words block by block. Each decision is predicted by the counts of the
@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import LOWER, clean, expand, mix, powers, prefix_hash, slices, span_hash, spans, stored, tidy, training_row, utf8
+from plumbline.llm.textkit import LOWER, clean, discard, discard_part, expand, mix, powers, prefix_hash, slices, span_hash, spans, stored, tidy, training_row, utf8
 
 MODULUS, HELD = 7, 2
 #: Lengths of the contexts in bytes; the last one stands for the whole word.
@@ -197,42 +197,47 @@ class Units:
 
 
 class Pairs:
-    """The distinct pairs of a context and the symbol that follows it, in the order of the contexts' hashes.
+    """The distinct pairs of a context and the symbol that follows it, in the order of the contexts' hashes and the symbols' codes.
 
     ``context`` and ``symbol`` of each pair; ``of`` is the pair of each of the units' symbols under each order. Contexts that are clipped at the
     beginning of the unit are the same under several orders.
     """
 
-    def __init__(self, units: Units):
+    def __init__(self, units: Units, code: Code):
         n = len(units.at)
-        hashes, new, place = [], [], []
-        step = 16 * BLOCK
+        self.of, self.longer = np.zeros((_K, n), np.int32), np.zeros((_K, n), bool)
+        self.context, self.symbol = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if not n:
+            return
+        hashes, place, step = [], [], 16 * BLOCK
         for a in range(0, n, step):
             b = min(a + step, n)
             contexts, longer = units.contexts(a, b)
+            self.longer[:, a:b] = longer
             hashes.append(contexts[longer])
-            new.append(longer)
-            place.append(np.nonzero(longer)[1] + a)
-        self.of = np.zeros((_K, n), np.int32)
-        self.context, self.symbol = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if not n:
-            return
+            place += [(np.flatnonzero(x) + a).astype(np.int32) for x in longer]
         hashes, place = np.concatenate(hashes), np.concatenate(place)
-        codes, names = pd.factorize((hashes ^ mix(units.symbol[place].astype(np.uint64) + np.uint64(1))) * np.uint64(0xD6E8FEB86659FD93))
-        first = np.empty(len(names), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        keys = mix(np.arange(1, 258, dtype=np.uint64))[units.symbol[place]]
+        keys ^= hashes
+        keys *= np.uint64(0xD6E8FEB86659FD93)
+        codes, names = pd.factorize(keys)
+        del keys
+        codes, first = codes.astype(np.int32), np.empty(len(names), np.int32)
+        first[codes[::-1]] = np.arange(len(codes), dtype=np.int32)[::-1]
         context, symbol = hashes[first], units.symbol[place[first]]
-        order = np.lexsort((symbol, context))
+        del hashes, place, names
+        order = np.lexsort((code.leaf[symbol].astype(np.int16), context))
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         self.context, self.symbol, codes, at = context[order], symbol[order], rank[codes], 0
-        for a, longer in zip(range(0, n, step), new):
+        for a in range(0, n, step):
+            b = min(a + step, n)
             for k in range(_K):
-                here, m = longer[k], int(longer[k].sum())
-                self.of[k, a : a + len(here)] = self.of[k - 1, a : a + len(here)] if k else 0
-                self.of[k, a + np.flatnonzero(here)] = codes[at : at + m]
-                at += m
-        self.longer = np.concatenate(new, axis=1)
+                here = np.flatnonzero(self.longer[k, a:b])
+                if k:
+                    self.of[k, a:b] = self.of[k - 1, a:b]
+                self.of[k, a + here] = codes[at : at + len(here)]
+                at += len(here)
 
     def times(self, units: Units, times: np.ndarray) -> np.ndarray:
         """How often each pair occurs in training texts."""
@@ -242,26 +247,36 @@ class Pairs:
         return out.astype(np.int64)
 
 
-def node_counts(code: Code, context: np.ndarray, symbol: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each node on the way to each pair's symbol, one after the other, given the distinct pairs in the order of context and ``Code.leaf``."""
+def node_counts(code: Code, context: np.ndarray, symbol: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at each node on the way to the symbols of the wanted pairs, one after the other, given all distinct pairs in the order of context and ``Code.leaf``.
+
+    Counts go into 16 bits; larger ones keep their ratio.
+    """
     size = code.size[symbol]
-    start = np.cumsum(size) - size
-    zeros, ones = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
+    start = np.cumsum(size * wanted) - size * wanted
+    total = int((size * wanted).sum())
+    zeros, ones = np.zeros(total, np.uint16), np.zeros(total, np.uint16)
     same = np.zeros(len(symbol), bool)  # whether the code so far is that of the pair before
     same[1:] = context[1:] == context[:-1]
-    live = np.arange(len(symbol))
+    live, first = np.arange(len(symbol), dtype=np.int32), code.start[symbol]
     depth = 0
     while len(live):
         heads = np.flatnonzero(~same)
-        run, bit = np.cumsum(~same) - 1, code.bit[code.start[symbol[live]] + depth]
+        bit = code.bit[first + depth]
         many = times[live]
         one, every = np.add.reduceat(many * bit, heads), np.add.reduceat(many, heads)
-        at = start[live] + depth
-        ones[at], zeros[at] = one[run], (every - one)[run]
+        zero = every - one
+        most = np.maximum(zero, one)
+        if most.max() > 65_535:
+            scale = np.maximum(1, most / 65_535)
+            zero, one = (zero / scale).astype(np.int64), (one / scale).astype(np.int64)
+        run, shown = np.cumsum(~same) - 1, wanted[live]
+        run, at = run[shown], start[live[shown]] + depth
+        ones[at], zeros[at] = one[run], zero[run]
         same[1:] &= bit[1:] == bit[:-1]
         depth += 1
         go = size[live] > depth
-        live, same = live[go], same[go]  # what ends here shares its code with none
+        live, same, first = live[go], same[go], first[go]  # what ends here shares its code with none
         if len(same):
             same[0] = False
     return zeros, ones
@@ -577,7 +592,7 @@ def _send(code: Code, buckets: int):
         for batch in batches:
             for source, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "c"))):
                 units, times, _ = _units(*blobs)
-                pairs = Pairs(units)
+                pairs = Pairs(units, code)
                 often = pairs.times(units, times)
                 cut = edges(pairs.context, buckets)
                 for q in range(buckets):
@@ -592,7 +607,7 @@ def _send(code: Code, buckets: int):
 
 
 def _add_up(code: Code):
-    """Adds up the counts of a bucket's pairs, and returns the counts of the nodes on their ways to the buckets of units that asked."""
+    """Adds up a bucket's pairs, and returns the symbols of each context that several buckets of units have, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -603,34 +618,65 @@ def _add_up(code: Code):
             yield from settle(part, held.pop(part))
 
     def settle(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        contexts, symbols, times = [], [], []
+        asked, per, symbols, times = [], [], [], []
         for _, a, b, c in rows:
-            contexts.append(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(zlib.decompress(b), np.uint16)))
-            data, n = zlib.decompress(c), len(contexts[-1])
+            asked.append(np.frombuffer(a, np.uint64))
+            per.append(np.frombuffer(zlib.decompress(b), np.uint16))
+            data, n = zlib.decompress(c), int(per[-1].sum())
             times.append(np.frombuffer(data, np.int64, n))
             symbols.append(np.frombuffer(data, np.uint16, n, 8 * n).astype(np.int64))
-        sources, sizes = [r[0] for r in rows], [len(x) for x in contexts]
+        sources, sizes = [r[0] for r in rows], [len(x) for x in asked]
         del rows
-        which, names = pd.factorize(np.concatenate(contexts))
-        symbols = np.concatenate(symbols)
-        codes, pairs = distinct(which * 257 + code.leaf[symbols])[::-1]
-        context, symbol = names[pairs // 257], code.symbol_at[pairs % 257]
-        zeros, ones = node_counts(code, context, symbol, np.bincount(codes, np.concatenate(times), len(pairs)).astype(np.int64))
-        scale = np.maximum(1, np.maximum(zeros, ones) / 65_535)  # both counts go into 16 bits; large ones keep their ratio
-        zeros, ones = ((x / scale).astype(np.uint16) for x in (zeros, ones))
-        size = code.size[symbol]
+        which, names = pd.factorize(np.concatenate(asked))
+        pairs, codes = distinct(np.repeat(which, np.concatenate(per)) * 257 + code.leaf[np.concatenate(symbols)])
+        total = np.bincount(codes, np.concatenate(times), len(pairs)).astype(np.int64)
+        symbol, size = code.symbol_at[pairs % 257].astype(np.uint16), np.bincount(pairs // 257, minlength=len(names))
+        several = np.bincount(which, minlength=len(names)) > 1  # the others have no more than the asking bucket knows
         start, at = np.cumsum(size) - size, 0
         for source, n in zip(sources, sizes):
-            own = codes[at : at + n]
+            own = which[at : at + n]
             at += n
-            cells = expand(start[own], size[own])
-            yield _counted([(source, part, _blob(zeros[cells]), _blob(ones[cells]), b"")])
+            many = size[own] * several[own]
+            found = expand(start[own], many)
+            yield _counted([(source, part, _planes(many.astype(np.uint16)), _planes(symbol[found]), _planes(total[found]))])
 
     return run
 
 
+def _follow(code: Code, pairs: Pairs, often: np.ndarray, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs' symbols, and the zeros and ones on the way to each.
+
+    Contexts without an answer are those that no other bucket has: their counts are the pairs' own (``often``).
+    """
+    per, symbol, times = answers
+    own = np.cumsum(np.append(False, pairs.context[1:] != pairs.context[:-1])) if len(pairs.context) else np.zeros(0, np.int64)
+    mine = own * 257 + code.leaf[pairs.symbol]
+    alone = per[own] == 0
+    told = np.repeat(np.arange(len(per)), per) * 257 + code.leaf[symbol]
+    key = np.concatenate((told, mine[alone]))
+    order = np.argsort(key, kind="stable")  # two runs that are in order each
+    key, times = key[order], np.concatenate((times, often[alone]))[order]
+    wanted = np.zeros(len(key), bool)
+    wanted[np.searchsorted(key, mine)] = True
+    zeros, ones = node_counts(code, key // 257, code.symbol_at[key % 257], times, wanted)
+    return pairs.symbol, zeros, ones
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of their bytes: the upper ones are mostly zero."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _unplanes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+_ANSWER = (np.uint16, np.uint16, np.int64)
+
+
 def _fit(code: Code):
-    """Weights and map of a task, and each bucket of units with the counts of its cells."""
+    """Weights and map of a task, and each bucket of units with the counts of its contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, held, units_of = Mixer(code), {}, {}
@@ -643,18 +689,31 @@ def _fit(code: Code):
         for part in list(units_of):
             units, times, _ = _units(*(blobs := units_of.pop(part)))
             counts = [x for _, x in sorted(held.pop(part, {}).items())]
-            zeros, ones = (b"".join(zlib.decompress(x[k]) for x in counts) for k in (0, 1))
+            answers = [np.concatenate([np.zeros(0, kind), *(_unplanes(x[k], kind) for x in counts)]) for k, kind in enumerate(_ANSWER)]
             if times.any():
-                pairs = Pairs(units)
-                mixer.take(pairs.symbol, *(np.frombuffer(x, np.uint16) for x in (zeros, ones)))
+                pairs = Pairs(units, mixer.code)
+                mixer.take(*_follow(code, pairs, pairs.times(units, times), answers))
                 mixer.learn(units, times, pairs)
-            yield _learned([(ODDS, part, *blobs, zlib.compress(zeros + ones, 1))])
+            yield _learned([(ODDS, part, *blobs, _framed([_planes(x) for x in answers]))])
         if mixer.seen.any():
             yield _learned([(WEIGHTS, 0, (mixer.weights.astype(np.float64) * mixer.seen).tobytes(), mixer.seen.tobytes(), b"", b""), (MAP, 0, mixer.map.tobytes(), b"", b"", b"")])
 
     return run
 
 
+def _framed(blobs: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in blobs)
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
 def _sum_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[np.ndarray]] = {}
     for batch in batches:
@@ -669,30 +728,37 @@ _PRICED = "mark binary, part long, a binary, b binary, c binary"
 
 
 def _price(model):
-    """The costs of each group's units in a bucket, and how often its words occur in training texts."""
+    """The cost of each unit of a bucket and how often it occurs in training texts: heads, then bodies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, held, links = model.value, {}, {}
+        mixer = model.value
         for batch in batches:
-            for part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "c", "d"))):
-                if blobs[3] is None:
-                    links.setdefault(part, []).append(blobs[:3])
-                else:
-                    held[part] = blobs
-        for part in list(held):
-            *blobs, counts = held.pop(part)
-            units, times, n = _units(*blobs)
-            pairs = Pairs(units)
-            mixer.take(pairs.symbol, *np.frombuffer(zlib.decompress(counts), np.uint16).reshape(2, -1))
-            cost = mixer.costs(units, pairs).astype(np.float32)
-            for mark, heads, bodies in links.pop(part, []):
-                a, b = (np.frombuffer(zlib.decompress(x), np.int32) for x in (heads, bodies))
-                blobs = cost[a].tobytes(), cost[n + b].tobytes(), _blob(times[n + b])
-                yield pa.RecordBatch.from_arrays([pa.array([mark], pa.binary()), pa.array([part]), *(pa.array([x], pa.binary()) for x in blobs)], ["mark", "part", "a", "b", "c"])
+            for part, *blobs, answers in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "c", "d"))):
+                units, times, n = _units(*blobs)
+                pairs = Pairs(units, mixer.code)
+                mixer.take(*_follow(mixer.code, pairs, pairs.times(units, times), [_unplanes(x, kind) for x, kind in zip(_unframed(answers), _ANSWER)]))
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([part]), *(pa.array([x], pa.binary()) for x in (_blob(mixer.costs(units, pairs).astype(np.float32)), _blob(times), n.to_bytes(8, "little")))], ["mark", "part", "a", "b", "c"])
 
     return run
 
 
+def _hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each group the costs of its units in a bucket, and how often its words occur in training texts."""
+    held, links = {}, {}
+    for batch in batches:
+        for mark, part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("mark", "part", "a", "b", "c"))):
+            if mark is None:
+                held[part] = blobs
+            else:
+                links.setdefault(part, []).append((mark, *blobs[:2]))
+    for part in list(held):
+        cost, times, n = held.pop(part)
+        cost, times, n = np.frombuffer(zlib.decompress(cost), np.float32), np.frombuffer(zlib.decompress(times), np.int64), int.from_bytes(n, "little")
+        for mark, heads, bodies in links.pop(part, []):
+            a, b = (np.frombuffer(zlib.decompress(x), np.int32) for x in (heads, bodies))
+            yield pa.RecordBatch.from_arrays([pa.array([mark], pa.binary()), pa.array([part]), *(pa.array([x], pa.binary()) for x in (_blob(cost[a]), _blob(cost[n + b]), _blob(times[n + b])))], ["mark", "part", "a", "b", "c"])
+
+
 _SPELLED = "bucket long, a binary, b binary, c binary, d binary"
 
 
@@ -701,7 +767,7 @@ def _spell(buckets: int, ends: int):
 
     def rows_of(mark: bytes, group: Group, costs: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple]:
         own = group.units(buckets)
-        head_cost, body_cost = (np.frombuffer(b"".join(x[k] for x in costs), np.float32).astype(np.float64) for k in (0, 1))
+        head_cost, body_cost = (np.frombuffer(b"".join(zlib.decompress(x[k]) for x in costs), np.float32).astype(np.float64) for k in (0, 1))
         known = np.frombuffer(b"".join(zlib.decompress(x[2]) for x in costs), np.int64)[own.body_codes]
         train = group.column("train").astype(bool)
         n, words = len(train), len(own.body_codes)
@@ -837,6 +903,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     buckets = min(tasks, BUCKETS)
     learned = stored(rows.mapInArrow(tidy(_map_learn(buckets)), _LEARNED), "mixing_texts", "kind")
     merged = stored(learned.filter(F.col("kind") == UNITS).repartition(tasks, "part").mapInArrow(tidy(_merge), _MERGED), "mixing", "kind")
+    discard_part(learned, f"kind={UNITS}")
     of = lambda kind: merged.filter(F.col("kind") == kind)
     train_tokens, vocabulary = ends, int(ends > 0)
     for (a,) in of(TOTALS).select("a").toLocalIterator():  # one row for each bucket
@@ -845,6 +912,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     unique = of(UNIQUE).select("part", F.lit(-1).cast("long").alias("source"), "a", "b", "c")
     counted = unique.mapInArrow(tidy(_send(code, buckets)), _COUNTED).repartition(tasks, "part").mapInArrow(tidy(_add_up(code)), _COUNTED)
     fitted = stored(counted.union(unique).repartition(tasks, "part").mapInArrow(tidy(_fit(code)), _LEARNED), "mixing_fit", "kind")
+    discard_part(merged, f"kind={UNIQUE}")
     mixer = Mixer(code)
     fits = fitted.filter(F.col("kind") > ODDS).coalesce(16).mapInArrow(tidy(_sum_fits), _LEARNED)
     for kind, a, b in fits.repartition(2, "kind").mapInArrow(tidy(_sum_fits), _LEARNED).select("kind", "a", "b").collect():  # 2 rows
@@ -853,8 +921,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
             mixer.weights = np.where(seen > 0, np.frombuffer(a, np.float64).reshape(-1, _GATES) / np.maximum(seen, 1), mixer.weights).astype(np.float32)
         else:
             mixer.map = np.frombuffer(a, np.float64).copy()
-    links = of(LINKS).select("part", "a", "b", "c", F.lit(None).cast("binary").alias("d"))
-    priced = fitted.filter(F.col("kind") == ODDS).select("part", "a", "b", "c", "d").union(links).repartition(tasks, "part").mapInArrow(tidy(_price(spark.sparkContext.broadcast(mixer))), _PRICED)
+    links = of(LINKS).select(F.col("a").alias("mark"), "part", F.col("b").alias("a"), F.col("c").alias("b"), F.lit(None).cast("binary").alias("c"))
+    costs = fitted.filter(F.col("kind") == ODDS).select("part", "a", "b", "c", "d").mapInArrow(tidy(_price(spark.sparkContext.broadcast(mixer))), _PRICED)
+    priced = stored(costs.union(links).repartition(tasks, "part").mapInArrow(tidy(_hand_out), _PRICED), "mixing_costs")
+    discard(fitted, merged)
     nothing = F.lit(None).cast("binary")
     texts = learned.filter(F.col("kind") == TEXTS).select(F.col("d").alias("mark"), F.lit(-1).cast("long").alias("part"), "a", nothing.alias("b"), nothing.alias("c"))
     spelled = priced.union(texts).repartition(tasks, "mark").mapInArrow(tidy(_spell(buckets, ends)), _SPELLED)

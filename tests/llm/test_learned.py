@@ -41,8 +41,8 @@ def test_mixing_probabilities_sum_to_one():
     mixer.weights += rng.normal(0, 0.3, mixer.weights.shape).astype(np.float32)
     mixer.map += rng.integers(0, 50, mixer.map.shape)
     symbol = np.tile(code.symbol_at, 5)
-    zeros, ones = lm_mixing.node_counts(code, np.repeat(np.arange(5), 257), symbol, rng.integers(0, 90, 5 * 257))
-    mixer.take(symbol, zeros.astype(np.uint16), ones.astype(np.uint16))
+    zeros, ones = lm_mixing.node_counts(code, np.repeat(np.arange(5), 257), symbol, rng.integers(0, 90, 5 * 257), np.ones(5 * 257, bool))
+    mixer.take(symbol, zeros, ones)
     pairs = np.arange(5)[:, None] * 257 + code.leaf[None, :]
     owner, node, y, cells = mixer.locate(np.arange(257), pairs)
     log = mixer.predict(node, y, *mixer.frozen_inputs(np.zeros(len(node), np.int64), cells))[-1]
@@ -91,18 +91,15 @@ def test_mixing_counts_every_context():
             for context in set(contexts):
                 for node, bit in zip(code.node[path].tolist(), code.bit[path].tolist()):
                     expected.setdefault((context, node), [0, 0])[bit] += n
-    pairs = lm_mixing.Pairs(units)
+    pairs = lm_mixing.Pairs(units, code)
     often = pairs.times(units, times)
-    order = np.lexsort((code.leaf[pairs.symbol], pairs.context))
-    found = lm_mixing.node_counts(code, pairs.context[order], pairs.symbol[order], often[order])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    size = code.size[pairs.symbol[order]]
+    found = lm_mixing.node_counts(code, pairs.context, pairs.symbol, often, np.ones(len(often), bool))
+    size = code.size[pairs.symbol]
     start = np.cumsum(size) - size
     assert len(seen) == len(units.at)
     for i, (contexts, path) in enumerate(seen):
         for k, context in enumerate(contexts):
-            at = start[rank[pairs.of[k, i]]]
+            at = start[pairs.of[k, i]]
             want = [expected[context, node] for node in code.node[path].tolist()]
             assert [[z, o] for z, o in zip(*(x[at : at + len(want)].tolist() for x in found))] == want
 
