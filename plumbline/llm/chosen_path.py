@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.textkit import LOWER, clean, expand, mix, prefix_hash, slices, span_hash, spans, stored, tidy
+from plumbline.llm.textkit import LOWER, clean, discard, expand, mix, prefix_hash, slices, span_hash, spans, stored, tidy
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 HASHES, DEPTH, BUCKET, BLOCK = 64, 3, 1000, 4096
+#: A group is compared in blocks of a quarter of ``BLOCK`` sets, so that no task gets much of a large one; groups of more than 8 such blocks
+#: get larger blocks, up to ``BLOCK``, as each set is sent once for each block.
 #: Share of equal tokens from which two sets are compared exactly: four standard deviations below 0.8.
 PLAUSIBLE = 0.6
 _RNG = np.random.default_rng(77)
@@ -126,20 +128,25 @@ def _children(path: Column, tokens: Column) -> Column:
     return F.array(*(F.xxhash64(path, k, F.substring(tokens, (2 * k + 1).cast("int"), F.lit(2))) for k in (first, second)))
 
 
-def _buckets(sets: DataFrame, runs: int, depth: int, bucket: int, block: int) -> DataFrame:
-    """(path, size, id, tokens) of all buckets with more than one set at which the recursion ends."""
+def _buckets(sets: DataFrame, runs: int, depth: int, bucket: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(path, size, id, tokens) of all buckets with more than one set at which the recursion ends, and the tables behind them."""
     step = sets.select("id", "tokens", F.explode(F.flatten(F.array(*(_children(F.lit(-1 - r).cast("long"), F.col("tokens")) for r in range(runs))))).alias("path"))
-    ended = None
+    ended, tables = None, []
     for level in range(1, depth + 1):
         sizes = step.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         met = stored(step.join(sizes, "path").select("path", "size", "id", "tokens"), "paths")
+        tables.append(met)
         small = met if level == depth else met.filter(F.col("size") <= bucket)
         ended = small if ended is None else ended.union(small)
         large = met.filter(F.col("size") > bucket)
         if level == depth or large.isEmpty():
             break
         step = large.select("id", "tokens", F.explode(_children(F.col("path"), F.col("tokens"))).alias("path"))
-    return ended
+    return ended, tables
+
+
+def _blocks(size: Column, block: int) -> Column:
+    return F.ceil(size / F.least(F.lit(float(block)), F.greatest(F.lit(block / 4), size / 8)))
 
 
 def _units(df: DataFrame, key: str, blocks: Column, member: str) -> DataFrame:
@@ -245,16 +252,18 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder. Only the number of changes comes to the driver.
     """
     both = stored(edges.distinct().select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v"), "edges")
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("label"))
+    last = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("label")), "labels")
     while True:
-        labels = stored(labels, "labels")
+        labels = last.select("v", "label")
         near = both.join(labels, "v").groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "v")
         lower = labels.join(near, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
         after = stored(lower.join(jump, "label").select("v", "was", F.least("label", "further").alias("label")), "labels")
-        labels = after.select("v", "label")
+        discard(last)
+        last = after
         if after.filter("label <> was").isEmpty():
-            return labels
+            discard(both)
+            return after.select("v", "label")
 
 
 # --- exact comparison ------------------------------------------------------------------------------------------------
@@ -334,15 +343,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     classes = sets.filter("n > 0 AND id IS NOT NULL").groupBy("one", "two").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = stored(classes, "classes")
 
-    ended = _buckets(classes, runs_for(recall, similarity), DEPTH, bucket, block)
+    ended, paths = _buckets(classes, runs_for(recall, similarity), DEPTH, bucket, block)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = _units(ended, "path", F.ceil(F.col("size") / block), "id").select("unit", "side", "id", "tokens")
+    units = _units(ended, "path", _blocks(F.col("size"), block), "id").select("unit", "side", "id", "tokens")
     tied = units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(tidy(_tie(PLAUSIBLE)), "a long, b long")
     groups = components(tied)
+    discard(*paths)
 
     members = groups.join(classes.select(F.col("id").alias("v"), "one", "two", "copies", "n"), "v")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
-    members = members.join(sizes, "label").select(F.col("v").alias("id"), "label", "one", "two", "copies", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / 4_000_000)).alias("spread"))
+    members = members.join(sizes, "label").select(F.col("v").alias("id"), "label", "one", "two", "copies", F.greatest(_blocks(F.col("size"), block), F.ceil(F.col("total") / 4_000_000)).alias("spread"))
     units = _units(members, "label", F.col("spread"), "id").select("id", "one", "two", "copies", "unit", "side")
     wholes = rows.join(units, "id").select("id", "text", "one", "two", "copies", "unit", "side")
     compared = wholes.mapInArrow(tidy(_map_members(words)), "id long, copies long, unit long, side int, shingles binary").repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(tidy(_compare(similarity)), "id long, links long, root long")
