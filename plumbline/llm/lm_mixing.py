@@ -899,7 +899,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     total, ends = int(counts.sum()), int(counts[END])
     code = Code(counts)
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 24_000_000)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 6_000_000)
     buckets = min(tasks, BUCKETS)
     learned = stored(rows.mapInArrow(tidy(_map_learn(buckets)), _LEARNED), "mixing_texts", "kind")
     merged = stored(learned.filter(F.col("kind") == UNITS).repartition(tasks, "part").mapInArrow(tidy(_merge), _MERGED), "mixing", "kind")
