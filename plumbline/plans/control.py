@@ -11,11 +11,15 @@ from pyspark.sql.types import StructType
 from plumbline.frame import Frame
 
 
-def compute(frame: Frame) -> Frame:
-    """Runs the plan and keeps the result on the executors (in memory, else on their disks); lost parts are computed again."""
+def compute(frame: Frame, partitions: int | None = None) -> Frame:
+    """Runs the plan and keeps the result on the executors (in memory, else on their disks); lost parts are computed again.
+
+    ``partitions`` deals the rows evenly to so many first, where a plan leaves them in a few (a file of one row group is one task,
+    and so would be all that reads the kept result); rows then have no order.
+    """
     if frame.computed:
         return frame
-    df = frame.df.persist()
+    df = (frame.df if partitions is None else frame.df.repartition(partitions)).persist()
     df.count()
     return frame._with(df, computed=True)
 
