@@ -239,7 +239,7 @@ def test_modes_and_control(spark, monkeypatch):
     done = compute(lazy)
     assert not has_pending_ops(done) and done.nrow == 2 and done.df.is_cached and compute(done) is done
     dealt = compute(tbl(spark.range(0, 100, 1, 1), lazy=True), partitions=4)
-    assert dealt.df.rdd.getNumPartitions() == 4 and dealt.df.is_cached and sorted(r.id for r in dealt.df.collect()) == list(range(100)) and not release(dealt).df.is_cached
+    assert dealt.df.rdd.getNumPartitions() == 4 and dealt.df.is_cached and sorted(r.id for r in dealt.df.collect()) == list(range(100)) and not dealt.release().df.is_cached
     assert as_eager(lazy).mode == "eager" and rows(collapse(t).filter(c.x > 1)) == [(2,)]
     done.release()
     assert "Scan" in query_text(t) or "LocalTableScan" in query_text(t)
