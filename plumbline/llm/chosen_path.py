@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from plumbline.llm.textkit import LOWER, clean, discard, expand, mix, prefix_hash, slices, span_hash, spans, stored, tidy
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
-HASHES, DEPTH, BUCKET, BLOCK = 64, 3, 1000, 4096
 #: A group is compared in blocks of a quarter of ``BLOCK`` sets, so that no task gets much of a large one; groups of more than 8 such blocks
 #: get larger blocks, up to ``BLOCK``, as each set is sent once for each block.
+HASHES, DEPTH, BUCKET, BLOCK = 64, 3, 1000, 4096
 #: Share of equal tokens from which two sets are compared exactly: four standard deviations below 0.8.
 PLAUSIBLE = 0.6
+#: Paths that may be told to all tasks, as each holds more than this part of all rows.
+HOT_PATHS = 1000
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
 _MULTIPLY = _RNG.integers(0, 2**62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,10 +133,10 @@ def _children(path: Column, tokens: Column) -> Column:
 def _buckets(sets: DataFrame, runs: int, depth: int, bucket: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
     """(path, size, id, tokens) of all buckets with more than one set at which the recursion ends, and the tables behind them."""
     step = sets.select("id", "tokens", F.explode(F.flatten(F.array(*(_children(F.lit(-1 - r).cast("long"), F.col("tokens")) for r in range(runs))))).alias("path"))
+    rows = sets.count() * 2 * runs
     ended, tables = None, []
     for level in range(1, depth + 1):
-        sizes = step.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        met = stored(step.join(sizes, "path").select("path", "size", "id", "tokens"), "paths")
+        met = stored(_met(step, max(bucket, rows // HOT_PATHS)), "paths")
         tables.append(met)
         small = met if level == depth else met.filter(F.col("size") <= bucket)
         ended = small if ended is None else ended.union(small)
@@ -142,9 +144,23 @@ def _buckets(sets: DataFrame, runs: int, depth: int, bucket: int, block: int) ->
         if level == depth or large.isEmpty():
             break
         step = large.select("id", "tokens", F.explode(_children(F.col("path"), F.col("tokens"))).alias("path"))
+        rows = large.count() * 2
     return ended, tables
 
 
+def _met(step: DataFrame, most: int) -> DataFrame:
+    """The rows whose path others share, with the number of its rows.
+
+    Paths of more than ``most`` rows, at most ``HOT_PATHS`` of them, are told to all tasks, so that their rows stay where
+    they are; the rows of all others meet by path.
+    """
+    sizes = step.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    hot = sizes.filter(F.col("size") > most).withColumnRenamed("size", "hot")
+    told = step.join(F.broadcast(hot), "path", "left")
+    stay = told.filter("hot IS NOT NULL").select("path", F.col("hot").alias("size"), "id", "tokens")
+    return stay.union(told.filter("hot IS NULL").drop("hot").join(sizes, "path").select("path", "size", "id", "tokens"))
+
+
 def _blocks(size: Column, block: int) -> Column:
     return F.ceil(size / F.least(F.lit(float(block)), F.greatest(F.lit(block / 4), size / 8)))
 

@@ -159,6 +159,14 @@ def test_chosen_path_join(docs, texts, none, block):
     assert chosen_path.join(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_paths_meet_whether_hot_or_not(spark, most):
+    paths = [7] * 40 + [8] * 3 + [9] * 2 + [10, None]
+    step = spark.createDataFrame([(k, bytes([k]), path) for k, path in enumerate(paths)], "id long, tokens binary, path long")
+    rows = chosen_path._met(step, most).collect()
+    assert Counter((r.path, r["size"], r.id, bytes(r.tokens)) for r in rows) == Counter((p, paths.count(p), k, bytes([k])) for k, p in enumerate(paths) if p in (7, 8, 9))
+
+
 def test_join_finds_pairs_at_the_threshold(spark):
     """Pairs of texts with a Jaccard similarity of 0.8 to 0.85, found through shared paths in buckets that are split."""
     rng, data, pairs = random.Random(12), [], []
