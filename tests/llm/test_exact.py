@@ -282,3 +282,19 @@ def test_words_split_as_in_the_library(vocabulary):
             if spans != [len(w) for w in own.find(text)]:
                 bad.append(low)
     assert not bad, [hex(x) for x in bad]
+
+
+def test_texts_of_several_slices(spark):
+    """Texts of 3 MB, beyond a slice, of which the second holds a long part of the first."""
+    rng = random.Random(31)
+    first = " ".join(f"{rng.randrange(16**9):x}" for _ in range(300_000))
+    second = " ".join(f"{rng.randrange(16**9):x}" for _ in range(150_000)) + first[1_000_000:2_400_000]
+    df = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+    have = {first[k : k + 50] for k in range(len(first) - 49)}
+    gone = bytearray(len(second))
+    for k in range(len(second) - 49):
+        if second[k : k + 50] in have:
+            gone[k : k + 50] = b"\1" * 50
+    rows = {r.doc_id: r for r in suffix_dedup.dedup(df).collect()}
+    assert rows[1].n_removed == 0 and bytes(rows[1].kept) == first.encode()
+    assert rows[2].n_removed == sum(gone) > 1_399_000 and bytes(rows[2].kept) == bytes(b for b, g in zip(second.encode(), gone) if not g)
