@@ -234,3 +234,34 @@ def test_markup(spark):
     df = spark.createDataFrame([(html,), (None,), ("no markup",)], "html string")
     rows = df.select(language_id.code(language_id.markup_language(df["html"])), language_id.plain_text(df["html"]), language_id.host_of(df["html"])).collect()
     assert rows[0][0] == "de" and rows[0][1].split() == ["Hallo", "Welt"] and tuple(rows[1]) == (None, None, None) and rows[2][1] == "no markup"
+
+
+def test_ranking_learns_from_every_labelled_row(spark, monkeypatch):
+    """The gradient over all pairs; features in a table and in memory give one model; rows beyond a bound count, and the quantile is theirs."""
+    monkeypatch.setattr(quality_rank, "FEW", 20)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(15_000, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=len(x)) > -0.5).astype(int)
+    part, w = slice(0, 300), np.array([0.7, -0.2, 0.1])
+    sums = quality_rank.Examples(x[part], y[part]).sums(np.zeros(3), np.ones(3), w)
+    difference = (x[part][y[part] == 1][:, None] - x[part][y[part] == 0][None]).reshape(-1, 3)
+    p = 1 / (1 + np.exp(difference @ w))
+    gradient, hessian = sums.slopes()
+    assert gradient == pytest.approx(-(difference * p[:, None]).mean(axis=0), abs=1e-4)
+    assert hessian == pytest.approx((difference * (p * (1 - p))[:, None]).T @ difference / len(difference), abs=2e-2)
+
+    local = quality_rank.fit(x, y, 1 - y.mean())
+    table = spark.createDataFrame([(int(k), row.tobytes()) for k, row in zip(y, x)], "label int, x binary").repartition(5)
+    shared = quality_rank.fit_all(quality_rank.SharedExamples(table), 1 - y.mean())
+    strength = np.sort(np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), -8, 8) @ local["weights"])
+    bad = int((y == 0).sum())
+    assert local["threshold"] == pytest.approx(strength[bad - 1 : bad + 1].mean())
+    assert all(shared[k] == pytest.approx(local[k]) for k in local)
+
+    docs = spark.createDataFrame([(k, "plain words go here. " * (1 + k % 4) if k % 2 else "x%% $# " * (1 + k % 4)) for k in range(15_500)], "doc_id long, text string").repartition(4)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 1 AS int) AS quality")
+    seen = []
+    monkeypatch.setattr(quality_rank, "fit_all", lambda examples, share: seen.append(examples.moments()[:2]) or {"constant": 0.5})
+    quality_rank.train(docs, labels)
+    want = [sum(k % 2 == c and not held(k, 5, 0) for k in range(15_500)) for c in (0, 1)]
+    assert [*seen[0]] == want and max(want) > labelled.PER_CLASS
