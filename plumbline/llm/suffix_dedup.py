@@ -8,7 +8,7 @@ is handled as one string (its content), about one run for every 18 bytes of text
    contents are taken as equal when two independent hashes of them agree, a polynomial modulo 2**64 and 24 bits of one modulo a
    prime. These runs, mostly parts of copies, are not compared byte by byte. What remains of a key with several contents is asked for: each content only from the smallest document that has it.
 2. These documents send the contents asked for; contents meet by key. There the suffixes that start a window (but for windows whose
-   hash no other one has, which are equal to none) are sorted:
+   hash no other one has, which are equal to none; windows of one hash are a tie, for which one takes part) are sorted:
    by their first eight bytes, and beyond ties by a mergesort whose comparisons are logarithmic, as prefix polynomial
    hashes and binary search find the common extension of two suffixes. Neighbours that the hashes call equal are
    compared byte by byte, so a collision of hashes merges nothing. Each class of equal windows has a smallest
@@ -149,6 +149,7 @@ def _map_runs(length: int, gram: int, buckets: int):
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         key, content, check, ids, ordinal = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         order = np.lexsort((ids, check, content, key))
         key, content, check, ids, ordinal = key[order], content[order], check[order], ids[order], ordinal[order]
         new = np.ones(len(key), bool)
@@ -179,7 +180,7 @@ def _map_runs(length: int, gram: int, buckets: int):
                 size += len(flat)
                 if size >= FLUSH_BYTES:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush(held)
 
@@ -347,22 +348,28 @@ class SuffixOrder:
             live = live[count[live] > width]
         return at
 
-    def shared(self, at: np.ndarray) -> np.ndarray:
-        """Whether the hash of the suffix's ``length`` bytes occurs once more; where it does not, no other suffix is equal."""
+    def repeated(self, at: np.ndarray) -> np.ndarray:
+        """The suffixes whose hash of ``length`` bytes occurs once more, in order; where it does not, no other suffix is equal.
+
+        The sort compares by these hashes, so suffixes of one hash are a tie in it: one of them takes part, and the others stand beside it.
+        """
         whole = (self.prefix[at + self.length] - self.prefix[at]) * self.inverse[at]
-        order = np.argsort(whole)
-        same = whole[order][1:] == whole[order][:-1]
-        out = np.zeros(len(at), bool)
-        out[order[1:][same]] = True
-        out[order[:-1][same]] = True
-        return out
+        order = np.argsort(whole, kind="stable")
+        at, whole = at[order], whole[order]
+        heads = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(at) else order
+        counts = np.diff(np.append(heads, len(at)))
+        heads, counts = heads[counts > 1], counts[counts > 1]
+        order = np.argsort(at[heads])
+        one = at[heads][order]
+        place = order[np.searchsorted(one, self.sort(one))]
+        return at[expand(heads[place], counts[place])]
 
     def verified(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the suffixes are equal byte by byte; asked only where the hashes say so."""
         out = self.alike(a, b, self.length)
         sure = np.flatnonzero(out)
-        for k in range(0, len(sure), 100_000):
-            part = sure[k : k + 100_000]
+        for k in range(0, len(sure), 10_000):
+            part = sure[k : k + 10_000]
             reach = np.arange(self.length)
             out[part] = (self.flat[a[part, None] + reach] == self.flat[b[part, None] + reach]).all(axis=1)
         return out
@@ -375,7 +382,7 @@ def lost_windows(flat: np.ndarray, starts: np.ndarray, windows: np.ndarray, ids:
     owner_of = np.full(len(flat) + 1, -1, np.int64)
     owner_of[at] = owner
     order = SuffixOrder(flat, length)
-    at = order.sort(at[order.shared(at)])
+    at = order.repeated(at)
     same = np.zeros(len(at), bool)
     same[1:] = order.verified(at[:-1], at[1:])
     group = np.cumsum(~same) - 1

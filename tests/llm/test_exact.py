@@ -131,6 +131,23 @@ def test_suffix_order_sorts():
     assert [text[a : a + 50] for a in order.sort(at)] == sorted(text[a : a + 50] for a in at)
 
 
+def test_windows_of_one_hash_are_sorted_once(monkeypatch):
+    """Contents of many equal windows, as texts of one repeated line have: the sort takes distinct windows, the result counts all."""
+    rng = random.Random(5)
+    line = bytes(rng.randrange(97, 123) for _ in range(70))
+    contents = [bytes(rng.randrange(97, 123) for _ in range(k + 1)) + line * 30 + bytes([97 + k]) for k in range(12)]
+    flat, sizes = np.frombuffer(b"".join(contents), np.uint8), np.array([*map(len, contents)])
+    taken, sort = [], suffix_dedup.SuffixOrder.sort
+    monkeypatch.setattr(suffix_dedup.SuffixOrder, "sort", lambda self, at: taken.append(len(at)) or sort(self, at))
+    owner, place = suffix_dedup.lost_windows(flat, np.cumsum(sizes) - sizes, sizes - 49, np.arange(12), 50)
+    windows = {(k, j): c[j : j + 50] for k, c in enumerate(contents) for j in range(len(c) - 49)}
+    least = {}
+    for (k, _), w in windows.items():
+        least[w] = min(k, least.get(w, k))
+    assert {*zip(owner.tolist(), place.tolist())} == {at for at, w in windows.items() if least[w] < at[0]}
+    assert sum(taken) <= len({*windows.values()})
+
+
 def shingles(text: str | None) -> set:
     words = [w for w in re.split("[ \t-\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
