@@ -134,17 +134,20 @@ def _buckets(sets: DataFrame, runs: int, depth: int, bucket: int, block: int) ->
     """(path, size, id, tokens) of all buckets with more than one set at which the recursion ends, and the tables behind them."""
     step = sets.select("id", "tokens", F.explode(F.flatten(F.array(*(_children(F.lit(-1 - r).cast("long"), F.col("tokens")) for r in range(runs))))).alias("path"))
     rows = sets.count() * 2 * runs
-    ended, tables = None, []
+    ended, tables, children = None, [], None
     for level in range(1, depth + 1):
         met = stored(_met(step, max(bucket, rows // HOT_PATHS)), "paths")
         tables.append(met)
+        if children is not None:
+            discard(children)
         small = met if level == depth else met.filter(F.col("size") <= bucket)
         ended = small if ended is None else ended.union(small)
         large = met.filter(F.col("size") > bucket)
         if level == depth or large.isEmpty():
             break
-        step = large.select("id", "tokens", F.explode(_children(F.col("path"), F.col("tokens"))).alias("path"))
-        rows = large.count() * 2
+        # Two rows for each: written, as they are read for the sizes, the hot paths' rows and the others'.
+        step = children = stored(large.select("id", "tokens", F.explode(_children(F.col("path"), F.col("tokens"))).alias("path")), "children")
+        rows = children.count()
     return ended, tables
 
 

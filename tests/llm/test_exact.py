@@ -184,6 +184,19 @@ def test_paths_meet_whether_hot_or_not(spark, most):
     assert Counter((r.path, r["size"], r.id, bytes(r.tokens)) for r in rows) == Counter((p, paths.count(p), k, bytes([k])) for k, p in enumerate(paths) if p in (7, 8, 9))
 
 
+def test_children_of_large_buckets_are_made_once(spark, monkeypatch):
+    """A large group of near copies: each level makes two rows of each of its rows, once."""
+    made, keep = [], chosen_path.stored
+    monkeypatch.setattr(chosen_path, "stored", lambda df, name, **more: made.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Generate"))) or keep(df, name, **more))
+    words = [f"word{k}" for k in range(120)]
+    df = spark.createDataFrame([(k, " ".join([*words, f"own{k}"])) for k in range(40)], "doc_id long, text string")
+    rows = chosen_path.join(df, bucket=5).collect()
+    assert all((r.class_id, r.n_links) == (0, 39) for r in rows) and len(rows) == 40
+    levels = [n for name, n in made if name in ("paths", "children")]
+    assert [name for name, _ in made if name in ("paths", "children")] == ["paths", "children", "paths", "children", "paths"]
+    assert levels[1:] == [1, 0, 1, 0]
+
+
 def test_join_finds_pairs_at_the_threshold(spark):
     """Pairs of texts with a Jaccard similarity of 0.8 to 0.85, found through shared paths in buckets that are split."""
     rng, data, pairs = random.Random(12), [], []
