@@ -40,7 +40,9 @@ LATE = (
 )
 #: Words and pairs that a worker remembers; beyond that it forgets all and goes on.
 CACHED_WORDS, CACHED_PAIRS = 200_000, 1_000_000
-_LONG = 48
+#: Words of more bytes, and of lengths that few words have, are merged one by one.
+_LONG, _FEW = 48, 8
+_NEVER = np.int32(2**31 - 1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,6 +78,10 @@ class ByteBPE:
         sizes[list(self.bytes)] = [len(x) for x in self.bytes.values()]
         self.token_sizes, self.token_starts = sizes, np.concatenate(([0], np.cumsum(sizes)))[:-1]
         self.token_bytes = np.frombuffer(b"".join(self.bytes.get(k, b"") for k in range(self.base)), np.uint8)
+        merges = np.array(sorted((a * self.base + b, rank, made) for (a, b), (rank, made) in self.merges.items()), np.int64).reshape(-1, 3)
+        self.merge_codes, self.merge_ranks = merges[:, 0].copy(), merges[:, 1].astype(np.int32)
+        self.merge_makes = np.zeros(int(merges[:, 1].max(initial=-1)) + 1, np.int64)
+        self.merge_makes[merges[:, 1]] = merges[:, 2]
         self.pair_codes, self.pair_stands = np.zeros(0, np.int64), np.zeros(0, bool)
         self._forget()
 
@@ -130,16 +136,60 @@ class ByteBPE:
 
     # --- many words ---
 
+    def ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens; ``_NEVER`` where they are not merged."""
+        if not len(self.merge_codes):
+            return np.full(first.shape, _NEVER, np.int32)
+        codes = first * self.base + second
+        at = np.minimum(np.searchsorted(self.merge_codes, codes), len(self.merge_codes) - 1)
+        return np.where(self.merge_codes[at] == codes, self.merge_ranks[at], _NEVER)
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of many words, those of one length together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out: list[list[int]] = [[]] * len(words)
+        for size in np.unique(sizes).tolist():
+            same = np.flatnonzero(sizes == size).tolist()
+            if size < 2 or size > _LONG or len(same) < _FEW:
+                for k in same:
+                    out[k] = self.merge(words[k])
+                continue
+            for low in range(0, len(same), 20_000):
+                part = same[low : low + 20_000]
+                self._merge_rows(np.frombuffer(b"".join([words[k] for k in part]), np.uint8).reshape(-1, size), np.array(part), out)
+        return out
+
+    def _merge_rows(self, spelled: np.ndarray, names: np.ndarray, out: list[list[int]]) -> None:
+        """One merge a round in each word that has one left, so that these words keep one width; a word without goes to its place in ``out``."""
+        tokens = np.array(self.single)[spelled]
+        rank = self.ranks(tokens[:, :-1], tokens[:, 1:])
+        while True:
+            best = rank.min(axis=1, initial=_NEVER)
+            for k, found in zip(names[best == _NEVER].tolist(), tokens[best == _NEVER].tolist()):
+                out[k] = found
+            live = best < _NEVER
+            if not live.any():
+                return
+            names, tokens, rank, best = names[live], tokens[live], rank[live], best[live]
+            row, place = np.arange(len(names)), rank.argmin(axis=1)
+            tokens[row, place] = self.merge_makes[best]
+            column = np.arange(tokens.shape[1] - 1)
+            tokens = np.take_along_axis(tokens, column + (column > place[:, None]), axis=1)
+            rank = np.take_along_axis(rank, column[:-1] + (column[:-1] >= place[:, None]), axis=1)
+            for left, has in ((place - 1, place > 0), (place, place < tokens.shape[1] - 1)):
+                at, left = row[has], left[has]
+                rank[at, left] = self.ranks(tokens[at, left], tokens[at, left + 1])
+
     def stands(self, codes: np.ndarray) -> np.ndarray:
         """Per pair of tokens (first * base + second; first is base for a word of one token): whether merging keeps it."""
         asked, back = np.unique(codes, return_inverse=True)
         at = np.searchsorted(self.pair_codes, asked)
         known = (at < len(self.pair_codes)) & (self.pair_codes[np.minimum(at, max(len(self.pair_codes) - 1, 0))] == asked) if len(self.pair_codes) else np.zeros(len(asked), bool)
         if not known.all():
-            new, fine = asked[~known], []
-            for code in new.tolist():
-                pair = [t for t in divmod(code, self.base + 1) if t < self.base]
-                fine.append(self.merge(b"".join(map(self.bytes.__getitem__, pair))) == pair)
+            new = asked[~known]
+            pairs = [[t for t in divmod(code, self.base + 1) if t < self.base] for code in new.tolist()]
+            merged = self.merge_all([b"".join(map(self.bytes.__getitem__, pair)) for pair in pairs])
+            fine = [found == pair for found, pair in zip(merged, pairs)]
             keep = len(self.pair_codes) + len(new) <= CACHED_PAIRS
             pool = np.concatenate((self.pair_codes, new)) if keep else np.union1d(asked[known], new)
             stand = np.concatenate((self.pair_stands, fine)) if keep else None
@@ -166,8 +216,8 @@ class ByteBPE:
         alone = np.flatnonzero(counts == 1)
         codes = np.concatenate((codes, self.base * (self.base + 1) + flat[ends[alone] - 1]))
         failing = np.unique(np.concatenate((owner[at], alone))[~self.stands(codes)])
-        for k in failing.tolist():
-            tokens[k] = self.merge(spelled[k])
+        for k, found in zip(failing.tolist(), self.merge_all([spelled[k] for k in failing.tolist()])):
+            tokens[k] = found
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.code.update(zip(words, range(len(self.code), len(self.code) + len(words))))
         self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(counts) - counts))

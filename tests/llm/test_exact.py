@@ -300,6 +300,18 @@ def test_bpe_on_hard_words(vocabulary):
     assert own.decode_batch(broken, np.array([3])).to_pylist() == [library.decode(broken.tolist(), skip_special_tokens=False)]
 
 
+def test_bpe_merges_words_together(vocabulary, monkeypatch):
+    """Many new words: pairs and words that fail are merged by rounds over all of them, as one by one."""
+    rng, alone = random.Random(9), []
+    own = bpe.ByteBPE(vocabulary)
+    words = [bytes(rng.choice(b"abehilnorst' \xc3\xa9") for _ in range(n)) for n in (0, 1, 2, 3, 5, 9, 20, 48, 49, 90) for _ in range(60)] + [b"aaaaaaa", b"abababab"] * 10
+    assert own.merge_all(words) == [own.merge(w) for w in words]
+    merge = bpe.ByteBPE.merge
+    monkeypatch.setattr(bpe.ByteBPE, "merge", lambda self, word: alone.append(word) or merge(self, word))
+    own.encode_batch([" ".join("".join(rng.choice("abehilnorst") for _ in range(rng.randrange(2, 12))) for _ in range(3000))])
+    assert len(own.pair_codes) > 1000 and len(alone) < 0.05 * len(own.pair_codes)
+
+
 def test_words_split_as_in_the_library(vocabulary):
     """The classes of all characters agree with the library's pre-tokenizer."""
     tokenizers = pytest.importorskip("tokenizers")
