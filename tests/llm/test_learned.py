@@ -49,6 +49,32 @@ def test_mixing_probabilities_sum_to_one():
     assert np.exp(np.bincount(owner, log)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_nodes_are_counted_in_steps(monkeypatch):
+    """Counts of nodes against brute force, whatever contexts a step holds; no step is much larger than asked for."""
+    rng, code = np.random.default_rng(3), lm_mixing.Code(1_000_000 // (1 + np.arange(257)))
+    key = np.unique(rng.integers(0, 900, 3000) * 257 + code.leaf[rng.zipf(1.5, 3000) % 257])
+    context, symbol = (key // 257).astype(np.uint64), code.symbol_at[key % 257]
+    times, wanted = np.where(rng.random(len(key)) < 0.02, 90_000, rng.integers(0, 9, len(key))), rng.random(len(key)) < 0.7
+    path = {s: [*zip(code.node[code.start[s] : code.start[s] + code.size[s]], code.bit[code.start[s] : code.start[s] + code.size[s]])] for s in range(257)}
+    total = Counter()
+    for c, s, n in zip(context.tolist(), symbol.tolist(), times.tolist()):
+        for node, bit in path[s]:
+            total[c, node, bool(bit)] += n
+    want = []
+    for c, s in zip(context[wanted].tolist(), symbol[wanted].tolist()):
+        for node, _ in path[s]:
+            both = np.array([total[c, node, False], total[c, node, True]])
+            want.append((both / max(1, both.max() / 65_535)).astype(int))
+    taken, count = [], lm_mixing._count_nodes
+    monkeypatch.setattr(lm_mixing, "_count_nodes", lambda code, context, *more: taken.append(len(context)) or count(code, context, *more))
+    for step in (1, 100, 10_000):
+        monkeypatch.setattr(lm_mixing, "STEP", step)
+        zeros, ones = lm_mixing.node_counts(code, context, symbol, times, wanted)
+        assert np.array_equal(np.column_stack([zeros, ones]), np.array(want))
+        assert sum(taken) == len(key) and max(taken) <= step + 257
+        taken.clear()
+
+
 def test_mixing_learns(spark):
     """Held-out texts of the same words cost less than under the base, and copies of training texts cost next to nothing."""
     rng = random.Random(4)
