@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import labelled, language_id, lm_mixing, quality_rank, toxicity
@@ -49,6 +50,15 @@ def test_mixing_probabilities_sum_to_one():
     assert np.exp(np.bincount(owner, log)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_symbols_are_counted_without_words(monkeypatch):
+    """Bytes of words, a blank for each word and an end for each text, without making words of the texts."""
+    texts = [" Some  WORDS\there\n", "", "é x" * 3, "   ", "a\x00b"]
+    want = Counter(b for t in texts for w in tokens(t)[:-1] for b in [*w, lm_mixing.BLANK]) + Counter({lm_mixing.END: len(texts)})
+    monkeypatch.setattr(lm_mixing, "Words", None)
+    (got,) = lm_mixing.symbol_counts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert dict(zip(*(x for x in got.to_pydict().values()))) == {k: want[k] for k in range(257)}
+
+
 def test_nodes_are_counted_in_steps(monkeypatch):
     """Counts of nodes against brute force, whatever contexts a step holds; no step is much larger than asked for."""
     rng, code = np.random.default_rng(3), lm_mixing.Code(1_000_000 // (1 + np.arange(257)))
