@@ -6,15 +6,18 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import (
     EngineError, all_of, arrange, as_eager, as_lazy, between, bind_cols, bind_rows, c, collapse, compute, contains, count, desc, ends_with, everything, exclude, filter_, full_join, group_by, has_pending_ops, head,
     if_else, inner_join, is_lazy, is_tbl, left_join, matches, max_, mean, min_, mutate, n, read, right_join, row_number, sd, select, starts_with, sum_, tbl, ungroup, var, write,
 )
 from plumbline.frame import short_type
+from plumbline.operators import joins
 from plumbline.operators.bind import promoted, repaired
 from plumbline.plans import diagnostics
 from plumbline.plans.control import infer_schema, plan_size, query_text
+from plumbline.queries import QUERIES
 
 
 def rows(frame):
@@ -209,6 +212,34 @@ def test_join_keys(spark, pair):
             bad()
 
 
+def test_many_to_many_joins_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "UNIT", 8, raising=False)
+    left = [(None if k % 7 == 0 else k % 5 if k % 3 else 1, k % 2, k // 4 * 0.5) for k in range(60)]  # hot keys, NULLs, equal rows
+    right = [(None if k % 5 == 0 else k % 6 if k % 4 else 1, k % 3, k // 3) for k in range(40)]
+    x, y = make(spark, left, "k int, j int, x double").mutate(m=F.create_map(F.lit("a"), F.lit(1))), make(spark, right, "k int, j int, y long")
+    wide = y.mutate(k=c.k.cast("double"))
+    odd = make(spark, [(v, n) for n in range(4) for v in (0.0, -0.0, math.nan, 1.0, None)], "k double, n int")
+    flags = make(spark, [(k % 3 == 0 if k % 4 else None, k) for k in range(30)], "k boolean, z int")
+    cases = [(inner_join, y, "k", {}), (left_join, y, ["k", "j"], {"na_matches": "never"}), (right_join, y, "k", {"na_matches": "never"}), (left_join, wide, "k", {"keep": True}), (right_join, flags, "k", {}), (inner_join, odd, "k", {"na_matches": "never"}), (left_join, y.filter(False), "k", {})]
+    for join, other, by, options in cases:
+        plain, spread = join(x, other, by, **options), join(x, other, by, relationship="many-to-many", **options)
+        assert spread.names == plain.names and spread.types == plain.types
+        assert sorted(map(repr, rows(spread))) == sorted(map(repr, rows(plain)))
+    odds = odd.select("k", other="n")
+    assert sorted(map(repr, rows(inner_join(odd, odds, "k", relationship="many-to-many")))) == sorted(map(repr, rows(inner_join(odd, odds, "k"))))
+    assert rows(left_join(x, y, "k", ordered=True, relationship="many-to-many")) == rows(left_join(x, y, "k", ordered=True))
+    with pytest.raises(EngineError, match="relationship"):
+        inner_join(x, y, "k", relationship="one-to-one")
+
+
+def test_many_to_many_join_spreads_one_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "UNIT", 1 << 14, raising=False)
+    spark.range(0, 3000, 1, 2).selectExpr("id AS c_custkey", "7 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, 1000, 1, 2).selectExpr("id AS s_suppkey", "7 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    made = QUERIES["join_many_to_many"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in made) == 3_000_000 and max(r["count"] for r in made) < 600_000
+
+
 def test_bind_rows(spark):
     a, b = make(spark, [(1, "p")], "a int, b string"), make(spark, [("q", 2.5)], "b string, a double")
     out = bind_rows(a, b, None)
