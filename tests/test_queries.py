@@ -42,6 +42,15 @@ def test_sorts_keep_whole_tables(spark, name, table):
     assert places == list(range(spark.read.parquet(f"{FOLDER}/{table}.parquet").count()))
 
 
+def test_division_by_any_zero(spark, tmp_path):
+    odd = (None, 0.0, -0.0, math.nan, math.inf, -math.inf, 5e-324, -1e308, 0.05, 1.0)
+    pairs = [(k, 1, 1.0, 1.0, a, b) for k, (a, b) in enumerate((a, b) for a in odd for b in odd)]
+    spark.createDataFrame(pairs, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert normal(QUERIES["mutate_div_zero"](spark, str(tmp_path)).collect()) == normal(con.sql(ORACLE_SQL["mutate_div_zero"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
